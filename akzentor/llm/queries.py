@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from akzentor.llm import bpe, packing, tokencount
-from akzentor.llm.common import table
+from akzentor.llm import ann, bpe, packing, tokencount, vec_neardup
+from akzentor.llm.common import keep, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,6 +19,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and survivor for every row of `embeddings`."""
+    return vec_neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     done = bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -35,5 +40,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op6_bpe_round_trip, op9_token_counts)}
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of `embeddings` for each row whose vec_id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(keep(ann.build_index(vectors), "index"), vectors.filter("vec_id % 50 = 0"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_embedding_near_dedup, op6_bpe_round_trip, op9_token_counts, op10_nearest_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
