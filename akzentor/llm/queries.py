@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from akzentor.llm import ann, bpe, packing, tokencount, vec_neardup
+from akzentor.llm import ann, bpe, langid, packing, quality, tokencount, vec_neardup
 from akzentor.llm.common import keep, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,11 +19,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The co-trained classifier's score of every document, learned from `labels`."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and survivor for every row of `embeddings`."""
     return vec_neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.fit(langid.training_rows(docs))
+    return langid.predict(docs, profiles).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     done = bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -46,5 +58,5 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(keep(ann.build_index(vectors), "index"), vectors.filter("vec_id % 50 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_embedding_near_dedup, op6_bpe_round_trip, op9_token_counts, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_embedding_near_dedup, op4_language_id, op6_bpe_round_trip, op9_token_counts, op10_nearest_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
