@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from akzentor.llm import ann, bpe, langid, minhash, packing, quality, tokencount, vec_neardup
+from akzentor.llm import ann, bpe, langid, minhash, packing, quality, tokencount, vec_neardup, warc
 from akzentor.llm.common import keep, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +52,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of `pages` written to WARC archives and read back."""
+    back = warc.write_and_read(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it has more than 1024."""
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER).withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -63,5 +69,5 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(keep(ann.build_index(vectors), "index"), vectors.filter("vec_id % 50 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_embedding_near_dedup, op4_language_id, op6_bpe_round_trip, op7_minhash_near_dedup, op9_token_counts, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_embedding_near_dedup, op4_language_id, op6_bpe_round_trip, op7_minhash_near_dedup, op8_warc, op9_token_counts, op10_nearest_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
