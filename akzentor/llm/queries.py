@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from akzentor.llm import ann, bpe, langid, minhash, packing, quality, tokencount, vec_neardup, warc
+from akzentor.llm import ann, bpe, html_extract, langid, minhash, packing, quality, tokencount, vec_neardup, warc
 from akzentor.llm.common import keep, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of `pages`."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     done = bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -69,5 +74,5 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(keep(ann.build_index(vectors), "index"), vectors.filter("vec_id % 50 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_embedding_near_dedup, op4_language_id, op6_bpe_round_trip, op7_minhash_near_dedup, op8_warc, op9_token_counts, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_embedding_near_dedup, op4_language_id, op5_html_extraction, op6_bpe_round_trip, op7_minhash_near_dedup, op8_warc, op9_token_counts, op10_nearest_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
