@@ -107,6 +107,25 @@ def distances(top: np.ndarray, known: np.ndarray, ranks: np.ndarray, profile: in
     return np.where(found < 0, profile, np.abs(found - np.arange(len(top)))).sum(axis=1)
 
 
+class Profiles:
+    """Profiles laid out for comparison; a call gives (language, score) of a text."""
+
+    def __init__(self, profiles: dict[str, list[int]], profile: int) -> None:
+        self.profile, self.names = profile, sorted(n for n in profiles if profiles[n])
+        self.known = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(profiles[n], np.int64) for n in self.names)]))
+        self.ranks = np.full((len(self.names), len(self.known)), -1, np.int64)
+        for i, n in enumerate(self.names):
+            self.ranks[i, np.searchsorted(self.known, profiles[n])] = np.arange(len(profiles[n]))
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        codes, counts, any_letter = ngrams(text or "")
+        if not any_letter or not self.names:
+            return UNKNOWN, 0.0
+        top = ranked(codes, counts, self.profile)
+        d = distances(top, self.known, self.ranks, self.profile)
+        return self.names[int(d.argmin())], 1 - float(d.min()) / (self.profile * len(top))
+
+
 def predict(docs: DataFrame, profiles: dict[str, list[int]], key: str = "doc_id", text: str = "text", profile: int = PROFILE) -> DataFrame:
     """(key, lang_pred, score) from the whole text alone.
 
@@ -115,31 +134,31 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], key: str = "doc_id"
     language by name. Repeated rows give a row each; other columns aren't read. No shuffle.
     """
     small_batches(docs.sparkSession)
-    names = sorted(n for n in profiles if profiles[n])
-    known = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(profiles[n], np.int64) for n in names)]))
-    ranks = np.full((len(names), len(known)), -1, np.int64)
-    for i, n in enumerate(names):
-        ranks[i, np.searchsorted(known, profiles[n])] = np.arange(len(profiles[n]))
+    of = Profiles(profiles, profile)
     schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score = [], []
-            for t in batch.column(1).to_pylist():
-                codes, counts, any_letter = ngrams(t or "")
-                if not any_letter or not names:
-                    pred.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                top = ranked(codes, counts, profile)
-                d = distances(top, known, ranks, profile)
-                pred.append(names[int(d.argmin())])
-                score.append(1 - float(d.min()) / (profile * len(top)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["k", "lang_pred", "score"])
+            found = [of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=schema.names)
 
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
+def keep_known(docs: DataFrame, profiles: dict[str, list[int]], least: float, text: str = "text", profile: int = PROFILE) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is one of the profiles' with a score
+    of at least `least`; decided where they are read."""
+    small_batches(docs.sparkSession)
+    of = Profiles(profiles, profile)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [of(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str | Column = "doc_id") -> Column:
     """True for the documents that nothing is learned from: crc32 of the key as text, mod 4, is 2."""
     return F.coalesce(F.crc32((F.col(key) if isinstance(key, str) else key).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -152,6 +152,24 @@ def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int, pool_rows: int) -
     return ids, y, text, meta
 
 
+def _fit(docs: DataFrame, labels: DataFrame, fit_rows: int, pool_rows: int) -> Model | None:
+    ids, y, text, meta = _sample(docs, labels, fit_rows, pool_rows)
+    return co_train(text, meta, y, np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in ids], bool)) if len(ids) else None
+
+
+def _scores(batch: pa.RecordBatch, model: Model | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """p_text, p_meta and score of a batch's rows, and which rows have a text at all."""
+    texts, sources, langs, sizes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "source", "lang", "n_chars"))
+    there = np.array([bool(t and t.strip()) for t in texts], bool)
+    if model is None:
+        found = [np.ones(len(texts))] * 3
+    elif texts:
+        found = list(model.score(np.stack([text_features(t or "") for t in texts]).astype(np.float64), np.stack([meta_features(*m) for m in zip(sources, langs, sizes, strict=True)]).astype(np.float64)))
+    else:
+        found = [np.zeros(0)] * 3
+    return [np.where(there, f, 0.0) for f in found], there
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> DataFrame:
     """(doc_id, p_text, p_meta, score, keep) for every row of docs.
 
@@ -162,21 +180,25 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
     docs aren't read. Scoring reads docs once, without a shuffle.
     """
     small_batches(docs.sparkSession)
-    ids, y, text, meta = _sample(docs, labels, fit_rows, pool_rows)
-    model = co_train(text, meta, y, np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in ids], bool)) if len(ids) else None
+    model = _fit(docs, labels, fit_rows, pool_rows)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.DoubleType()) for c in ("p_text", "p_meta", "score")), T.StructField("keep", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sources, langs, sizes = (batch.column(i).to_pylist() for i in range(1, 5))
-            if model is None:
-                found = [np.ones(len(texts))] * 3
-            elif texts:
-                found = list(model.score(np.stack([text_features(t or "") for t in texts]).astype(np.float64), np.stack([meta_features(*m) for m in zip(sources, langs, sizes, strict=True)]).astype(np.float64)))
-            else:
-                found = [np.zeros(0)] * 3
-            there = np.array([bool(t and t.strip()) for t in texts], bool)
-            found = [np.where(there, f, 0.0) for f in found]
+            found, there = _scores(batch, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found), pa.array(there & (found[2] >= threshold))], names=schema.names)
 
     return docs.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, that `classify` keeps; decided where they are read."""
+    small_batches(docs.sparkSession)
+    model = _fit(docs, labels, fit_rows, pool_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, there = _scores(batch, model)
+            yield batch.filter(pa.array(there & (found[2] >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
