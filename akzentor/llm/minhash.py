@@ -5,11 +5,11 @@ make candidate keys, and of each minimum only the low bits stay, packed in plane
 numbers. Similarity is estimated from counts of equal bits, corrected for chance collisions,
 and pairs that the estimate doesn't rule out are confirmed on the full shingle sets.
 
-No group of a key is expanded into its pairs. First every member of a key is paired with one hub;
-what is confirmed forms components. Only pairs of a key whose members are then still in
-different components are compared, with the estimate as the join's condition, so that no link
-that would join two components is left out and a large group of near copies costs one pair
-a member.
+No group of a key is expanded into its pairs. First every member of a key is paired with two hubs;
+what is confirmed forms components, and most near copies are then in one with each other. The
+members of a key outside of its largest component are compared with all others of the key, so
+that no link between different texts is lost, but in blocks that send out no pairs: the
+time for that grows with the number of such members times the size of the key.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ PERMUTATIONS, BANDS, ROWS, BITS = 128, 25, 5, 2
 #: Standard errors by which an estimate may fall short of the threshold before a pair is ruled out.
 SLACK = 5.0
 MEMO_WORDS = 200_000
+#: Rows of a block in which sets meet, and columns of an incidence matrix.
+BLOCK, COLUMNS = 256, 4096
 
 
 class _Words(dict):
@@ -183,6 +185,88 @@ def _confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return found
 
 
+def _rest(member: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of a key in different components; member has (key, rep, c,
+    minor, s0...), and of two members in different components one at least is minor.
+
+    Semi joins leave the members that an estimate pairs with another; these meet in blocks of a
+    key, where products of incidence matrices give all intersections exactly. What comes out of a
+    block is a spanning forest of its links.
+    """
+    close = similarity([F.col(f"a_{s}") for s in SIG], [F.col(f"b_{s}") for s in SIG]) >= F.lit(floor_of(percent))
+    a = member.select("key", F.col("rep").alias("a_rep"), F.col("c").alias("a_c"), "minor", *(F.col(s).alias(f"a_{s}") for s in SIG))
+    b = member.select(F.col("key").alias("b_key"), F.col("c").alias("b_c"), F.col("minor").alias("b_minor"), *(F.col(s).alias(f"b_{s}") for s in SIG))
+    apart = (F.col("key") == F.col("b_key")) & (F.col("a_c") != F.col("b_c")) & close
+    lone = a.filter("minor").join(b, apart, "left_semi").select("key", F.col("a_rep").alias("id"), F.col("a_c").alias("c"), F.lit(True).alias("minor"))
+    rest = a.filter("not minor").join(b.filter("b_minor"), apart, "left_semi").select("key", F.col("a_rep").alias("id"), F.col("a_c").alias("c"), F.lit(False).alias("minor"))
+    near = keep(lone.unionByName(rest), "near")
+    size = keep(near.groupBy("key").agg(F.ceil(F.sum(F.col("minor").cast("long")) / BLOCK).cast("int").alias("rows"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cols")), "blocks")
+    near = keep(near.join(size.filter("rows > 0"), "key"), "near")
+    slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("long")).cast("int")
+    left = near.filter("minor").select("key", "id", "c", F.lit(True).alias("left"), slot("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
+    right = near.select("key", "id", "c", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), slot("cols").alias("j"))
+    wanted = keep(near.select("id").distinct(), "wanted")
+    sets = keep(_sets(docs, wanted, words), "sets")
+    met = left.unionByName(right).join(sets, "id").select("key", "i", "j", "left", "id", "c", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            key = np.column_stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+            for x, y in zip(cuts, cuts[1:]):
+                yield _block_links(t.slice(x, y - x), percent)
+            held = t.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield _block_links(held, percent)
+
+    ordered = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "left", "id")
+    found = keep(ordered.mapInArrow(run, "a long, b long"), "links")
+    discard(sets)
+    return found
+
+
+def _block_links(t: pa.Table, percent: int) -> pa.RecordBatch:
+    """A spanning forest of the links between the left and the right rows of one block, over what
+    their components join already."""
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in t.column("set").chunks for x in chunk]
+    ids, comp, left = (t.column(c).to_numpy() for c in ("id", "c", "left"))
+    size = np.array([len(s) for s in sets])
+    # Shingles of one row alone are in no intersection.
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    some = times[column] > 1
+    column, row = np.cumsum(times > 1)[column[some]] - 1, row[some]
+    l, r = np.flatnonzero(left), np.flatnonzero(~left)
+    both = np.zeros((len(l), len(r)), np.float32)
+    wide = int(column.max()) + 1 if len(column) else 0
+    for at in range(0, wide, COLUMNS):
+        here = (column >= at) & (column < at + COLUMNS)
+        m = np.zeros((len(sets), min(COLUMNS, wide - at)), np.float32)
+        m[row[here], column[here] - at] = 1
+        both += m[l] @ m[r].T
+    both = both.astype(np.int64)
+    hit = (100 * both >= percent * (size[l][:, None] + size[r][None] - both)) & (both > 0) & (comp[l][:, None] != comp[r][None])
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    a, b = [], []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+        x, y = root(int(comp[l[i]])), root(int(comp[r[j]]))
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            a.append(int(ids[l[i]]))
+            b.append(int(ids[r[j]]))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row.
 
@@ -213,20 +297,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     likely = keep(keep(star.join(left, "a"), "half").join(right, "b").filter(close).select("a", "b"), "likely")
     links = _confirm(likely, texts, words, percent)
 
-    # What is left: pairs of a key whose members are in different components so far.
+    # What is left: members of a key outside of the component that most of the key's members are in.
     first = keep(connected_components(links), "first")
-    node = first.select(F.col("node").alias("rep"), F.col("component"))
-    hub = first.select(F.col("node").alias("lo"), F.col("component").alias("hub_component"))
-    placed = keep(shared.join(node, "rep", "left").select("key", "rep", "lo", F.coalesce("component", "rep").alias("c")), "placed")
-    placed = keep(placed.join(hub, "lo", "left").select("key", "rep", "lo", "c", (F.col("c") != F.coalesce("hub_component", "lo")).alias("minor")), "members")
-    open_keys = keep(placed.filter("minor").select("key").distinct(), "open")
-    member = keep(placed.join(open_keys, "key", "left_semi"), "inside")
+    placed = keep(shared.select("key", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c")), "placed")
+    most = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("major"), F.count(F.lit(1)).alias("parts"))
+    most = keep(most.filter("parts > 1").select("key", "major"), "majors")
+    member = keep(placed.join(most, "key").select("key", "rep", "c", (F.col("c") != F.col("major")).alias("minor")), "inside")
     member = keep(member.join(sig, "rep"), "signed")
-    x = member.filter("minor").select("key", F.col("rep").alias("a"), F.col("c").alias("ac"), *(F.col(s).alias(f"a_{s}") for s in SIG))
-    y = member.filter("rep <> lo").select("key", F.col("rep").alias("b"), F.col("c").alias("bc"), F.col("minor").alias("b_minor"), *(F.col(s).alias(f"b_{s}") for s in SIG))
-    apart = (F.col("ac") != F.col("bc")) & (~F.col("b_minor") | (F.col("a") < F.col("b")))
-    rest = x.join(y, (x["key"] == y["key"]) & apart & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _confirm(keep(rest.join(likely, ["a", "b"], "left_anti"), "rest"), texts, words, percent)
+    more = _rest(member, texts, words, percent)
     comp = connected_components(links.unionByName(more)).withColumnRenamed("node", "rep")
 
     known = keep(classes.join(comp, "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id")), "known")
