@@ -158,7 +158,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words, memo).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "set"])
 
-    return docs.join(wanted, "id", "left_semi").mapInArrow(run, "id long, set binary")
+    # A merge join at every size: ids of near copies grow with the documents, and one plan holds for all.
+    return docs.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(run, "id long, set binary")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:

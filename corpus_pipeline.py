@@ -36,7 +36,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     docs = docs.select(*COLUMNS)
     kept = keep(minhash.near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
