@@ -40,7 +40,7 @@ def common_words(metrics: DataFrame, keys: list[str], libs: list[str]) -> DataFr
     word = checked.groupBy(*keys, "g").agg(F.collect_set("lib").alias("seen"), F.collect_set(F.when(F.col("wrong"), F.col("lib"))).alias("bad"))
     shared = word.filter(F.size("seen") == len(libs)).select(F.explode("seen").alias("lib"), "bad")
     own = shared.groupBy("lib").agg(F.count(F.lit(1)).alias("common"), F.count_if(F.array_contains("bad", F.col("lib"))).alias("errors"))
-    names = metrics.select("lib").distinct()
+    names = metrics.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, sorted(libs)))).alias("lib"))
     return names.join(own, "lib", "left").select("lib", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("common", "errors")))
 
 
