@@ -25,6 +25,8 @@ from akzentor.llm.common import keep, small_batches
 
 #: Share of a host's pages that a template token stands on, and the fewest pages of a host.
 SUPPORT, LEAST_PAGES = 0.5, 2
+#: The same for texts that the template itself has: passages that some pages share stay.
+TEXT_SUPPORT, LEAST_TEXT_PAGES = 0.8, 4
 #: Share of the running text that the main element holds where no element is marked as main.
 MASS = 0.6
 
@@ -34,6 +36,7 @@ RAW = frozenset("script style title textarea noscript iframe noframes xmp templa
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul caption".split()
 )
+CONTAINERS = frozenset("article body center div dl main section table tbody td tr".split())
 NO_TEXT = frozenset("head nav footer header aside form button select option input textarea label fieldset menu dialog object canvas audio video".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 ENDS_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "tfoot", "thead", "caption", "option", "optgroup", "legend"}
@@ -203,7 +206,7 @@ def page_tokens(page: str) -> list[tuple[int, int, str, int, int, int, int]]:
 
 def deduce_templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """The template of every host with at least LEAST_PAGES pages: host, token, parent, kind, class
-    (tokens with one occurrence vector share it), pages, once (one on each page), place, text, main.
+    (tokens with one occurrence vector share it), pages, host_pages, once (one on each page), place, text, main.
 
     Null html is an empty page. Keys only tell pages apart: rows of one key add to the page counts
     as pages do, but an even number of equal ones leaves no trace in a vector. Pages without a
@@ -233,18 +236,19 @@ def deduce_templates(pages: DataFrame, key: str = "page_id", url: str = "url", h
     sums = keep(sums.filter(F.col("pages") >= LEAST_PAGES), "tokens")
     size = sums.filter("token = -1").select("host", F.col("pages").alias("host_pages"))
     valid = sums.filter("token <> -1").join(size, "host").filter(F.col("pages") >= F.col("host_pages") * SUPPORT)
-    return valid.select("host", "token", "parent", "kind", F.concat_ws("-", F.hex("v0"), F.hex("v1")).alias("class"), "pages", (F.col("most") == 1).alias("once"), "place", "text", "main")
+    return valid.select("host", "token", "parent", "kind", F.concat_ws("-", F.hex("v0"), F.hex("v1")).alias("class"), "pages", "host_pages", (F.col("most") == 1).alias("once"), "place", "text", "main")
 
 
 def main_slots(templates: DataFrame) -> DataFrame:
     """(host, slot, fixed): the token of the element that holds the main text, and the texts that the
     template itself has outside of it."""
-    once = templates.filter("once and kind <> ''")
+    once = templates.filter("once").filter(F.col("kind").isin(*CONTAINERS))
     # Elements that stand once on a page: an article first, then a main element, then the deepest with most of the text.
     ranked = once.withColumn("whole", F.max("text").over(Window.partitionBy("host")))
     ranked = ranked.filter((F.col("main") > 0) | (F.col("text") >= F.col("whole") * MASS))
     best = ranked.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("main"), F.desc("place"), "token"))).filter("r = 1")
-    fixed = templates.filter("once and kind = ''").groupBy("host").agg(F.collect_set("token").alias("fixed"))
+    same = (F.col("pages") >= LEAST_TEXT_PAGES) & (F.col("pages") >= F.col("host_pages") * TEXT_SUPPORT)
+    fixed = templates.filter("once and kind = ''").filter(same).groupBy("host").agg(F.collect_set("token").alias("fixed"))
     return best.select("host", F.col("token").alias("slot"), "main").join(fixed, "host", "left")
 
 
@@ -280,10 +284,10 @@ def main_text(page: str, slot: int | None = None, fixed: frozenset[int] = frozen
             chosen = [b for b in blocks if b.node.main == most]
     if not chosen and blocks:
         whole = max((x.text for x in nodes), default=0)
-        deep = [x for x in nodes if not x.chrome and x.text >= whole * MASS]
+        deep = [x for x in nodes if not x.chrome and x.tag in CONTAINERS and x.text >= whole * MASS]
         chosen = within(lambda x: x is deep[-1]) if deep else blocks
     if fixed:
-        chosen = [b for b in chosen if b.node.main or xxhash.xxh3_64_intdigest(b.text, seed=b.node.role) >> 1 not in fixed]
+        chosen = [b for b in chosen if b.node.main or xxhash.xxh3_64_intdigest(b.text, seed=b.node.role) >> 1 not in fixed] or chosen
     return "\n".join(b.text for b in chosen)
 
 

@@ -134,7 +134,7 @@ def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int, pool_rows: int) -
     marked = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n, total = marked.count(), docs.count()
     marked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(n, 1))) < fit_rows)
-    own = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(marked), "doc_id", "left")
+    own = docs.select("doc_id", "text", "source", "lang", "n_chars").filter("doc_id is not null").join(F.broadcast(marked), "doc_id", "left")
     own = own.withColumn("pool", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(max(total, 1))) < pool_rows).filter("quality is not null or pool")
     schema = "doc_id long, y int, text binary, meta binary"
 

@@ -144,11 +144,23 @@ class _Stream:
         while (i := self.held.find(mark, at)) < 0:
             at = max(0, len(self.held) - len(mark) + 1)
             if not self._more():
+                if self.held.strip():
+                    raise ValueError("the archive ends within a record")
                 return None
         out = bytes(self.held[:i])
         del self.held[: i + len(mark)]
         return out
 
+    def http_head(self, size: int) -> bytes | None:
+        """The HTTP headers at the start of a block of `size` bytes; None, and nothing read, if it
+        has none."""
+        while (i := self.held.find(b"\r\n\r\n", 0, size)) < 0:
+            if len(self.held) >= size:
+                return None
+            if not self._more():
+                raise ValueError("the archive ends within a record")
+        return self.take(i + 4)[:-4]
+
     def take(self, n: int) -> bytes:
         while len(self.held) < n and self._more():
             pass
@@ -184,10 +196,11 @@ def read_records(raw: Any, file: str, wanted: list[tuple[str, str, Any]], payloa
         http = None
         body, full, left = None, size, size
         if heads.get("content-type", "").startswith("application/http") and size:
-            http_head = stream.until(b"\r\n\r\n")
-            left = size - len(http_head) - 4
-            http = _heads(http_head)
-            full = int(http.get("content-length", left))
+            http_head = stream.http_head(size)
+            if http_head is not None:
+                left = size - len(http_head) - 4
+                http = _heads(http_head)
+                full = int(http.get("content-length", left))
         digest = heads.get("warc-payload-digest", "").removeprefix("sha1:") or None
         if (payload or verify) and heads.get("warc-type") != "revisit":
             body = stream.take(left)
