@@ -12,10 +12,10 @@ from akzentor.llm import warc
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="home">
 <nav><ul><li><a href="/">Home</a><li><a href="/x">X</a></ul></nav><div class="ad">Buy <b>now</b></div><div id="cookie-notice">We use cookies</div>
-<div class="content" id=c%d><h1>Title &amp; more %d</h1><p>First   <b>bo</b>ld&nbsp;text<br>next&#33;<p>Second &lt;b&gt; paragraph of number %d, which is longer than others are
+<div class="content" id=c%d><h1>Title &amp; more %d</h1><p>First   <b>bo</b>ld&nbsp;text<br>next&#33; N<p>Second &lt;b&gt; paragraph of number %d, which is longer than others are
 <ul><li>one of N</li><li>two of N</ul><blockquote>Quoted N</blockquote></div><aside>Side</aside><form><input value=1>Your name</form>
 <div class="comments"><p>A reader says %d</p></div><footer>&copy; All <a>rights</a></footer></body></html>"""
-TEXT = "Title & more %d\nFirst bold text next!\nSecond <b> paragraph of number %d, which is longer than others are\none of N\ntwo of N\nQuoted N"
+TEXT = "Title & more %d\nFirst bold text next! N\nSecond <b> paragraph of number %d, which is longer than others are\none of N\ntwo of N\nQuoted N"
 
 
 def test_main_text_without_an_article(spark):
