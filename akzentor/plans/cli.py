@@ -33,10 +33,11 @@ def run(spark: SparkSession, config: Config, gold_path: str, names: list[str], f
     annotators.discover(config.adapters_dir)
     chosen = config.select(names)
     gold_hash, config_hash, cache = file_digest(gold_path), config.digest(), Cache(config.cache_dir)
-    gold = gold_sentences(spark, gold_path)
+    gold = gold_sentences(spark, f"file://{Path(gold_path).resolve()}")
+    stored = Path(config.cache_dir).resolve()
     runs: list[DataFrame] = []
     for lib in chosen:
-        out = f"{config.cache_dir}/{lib.name}-{gold_hash[:12]}-{config_hash[:12]}.parquet"
+        out = f"{stored}/{lib.name}-{gold_hash[:12]}-{config_hash[:12]}.parquet"
         if force or cache.status(lib.name, gold_hash, config_hash) != "VALID":
             log.info("annotating with %s", lib.name)
             annotators.annotate(gold, lib.name, KEYS).write.mode("overwrite").parquet(out)

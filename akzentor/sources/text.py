@@ -25,7 +25,7 @@ def decode_output(data: bytes) -> str:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of whole files. UTF-8 is decoded by Spark; only other files reach the Arrow
+    """(path, text) of whole files; Spark passes over empty ones. UTF-8 is decoded by Spark; only other files reach the Arrow
     function that tries the other encodings, for Spark's own decoder doesn't know them all."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
