@@ -19,8 +19,15 @@ LATIN, CYRILLIC = SOURCE + "ß" + SOURCE.upper(), TARGET + "щ" + TARGET.upper()
 
 
 def in_class(signs: str) -> str:
-    """A regular expression's class of these signs."""
-    return "[" + signs.replace("-", "") + ("-" if "-" in signs else "") + "]"
+    """A regular expression's class of these signs, neighbours in the code as ranges: Java tests
+    the parts of a class one by one."""
+    runs: list[list[int]] = []
+    for c in sorted({ord(c) for c in signs if c != "-"}):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(chr(x) if x == y else f"{chr(x)}-{chr(y)}" for x, y in runs) + ("-" if "-" in signs else "") + "]"
 
 
 V, NOT_V = in_class(VOWELS), "[^" + in_class(VOWELS)[1:]

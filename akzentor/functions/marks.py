@@ -49,8 +49,8 @@ def acutes(text: Column | str) -> Column:
 def first_stress(word: Column | str) -> Column:
     """Place of a marked word's first stressed vowel in the word without marks; null if none."""
     w = _col(word)
-    before = F.regexp_extract(w, rf"(?s)^(.*?)(?:\+{V}|{V}[{GRAVE}{ACUTE}])", 1)
-    return F.when(F.rlike(w, F.lit(rf"\+{V}|{V}[{GRAVE}{ACUTE}]")), F.length(remove_marks(before)))
+    at = F.regexp_instr(w, F.lit(rf"\+{V}|{V}[{GRAVE}{ACUTE}]"))
+    return F.when(at > 0, F.length(remove_marks(F.substr(w, F.lit(1), at - 1))))
 
 
 def insert_at(clean: Column | str, positions: Column | str, mark: str = PLUS, after: bool = False) -> Column:
@@ -72,7 +72,7 @@ def accent(clean: Column | str, positions: Column | str) -> Column:
 
 
 def vowels_of(word: Column | str) -> Column:
-    return F.regexp_replace(_col(word), NOT_V, "")
+    return F.regexp_replace(_col(word), NOT_V + "+", "")
 
 
 def count_vowels(word: Column | str) -> Column:
@@ -85,6 +85,22 @@ def vowel_positions(word: Column | str) -> Column:
     return F.filter(places, lambda i: F.contains(F.lit(VOWELS), F.substr(w, i + 1, F.lit(1))))
 
 
+def nth_vowel(word: Column | str, n: Column) -> Column:
+    """Place of the vowel with a number, from 0; null if there is none. With all vowels made one,
+    it is the length of what stands before that one's nth place."""
+    w = _col(word)
+    one = VOWELS[0]
+    at = F.length(F.call_function("substring_index", F.translate(w, VOWELS, one * len(VOWELS)), F.lit(one), n + 1))
+    return F.nullif(at, F.length(w))
+
+
+def first_vowel(word: Column | str) -> Column:
+    """Place of the first vowel; null if there is none."""
+    w = _col(word)
+    at = F.regexp_instr(w, F.lit(V))
+    return F.when(at > 0, at - 1)
+
+
 def vowel_index(word: Column | str, char_index: Column | str) -> Column:
     """Ordinal among the word's vowels of the vowel at a place; null if there is none."""
     w, at = _col(word), _col(char_index)

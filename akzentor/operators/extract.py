@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from akzentor.functions import marks
-from akzentor.functions.alphabet import MW, W
+from akzentor.functions.alphabet import MW
 from akzentor.operators.tokenize import words
 
 
@@ -21,8 +21,8 @@ def marked_words(sentences: DataFrame, keys: list[str], text: str = "text", meth
 def word_array(text: Column | str) -> Column:
     """A marked sentence's words, in the row: array of (text, stress)."""
     t = F.col(text) if isinstance(text, str) else text
-    raw = F.filter(F.regexp_extract_all(t, F.lit(f"({MW}+)"), F.lit(1)), lambda w: F.rlike(w, F.lit(W)))
-    return F.transform(raw, lambda w: F.struct(marks.remove_marks(w).alias("text"), marks.first_stress(w).alias("stress")))
+    raw = F.regexp_extract_all(t, F.lit(f"({MW}+)"), F.lit(1))
+    return F.filter(F.transform(raw, lambda w: F.struct(marks.remove_marks(w).alias("text"), marks.first_stress(w).alias("stress"))), lambda w: w["text"] != "")
 
 
 def flag_dubious(word_rows: DataFrame, dubious: DataFrame, text: str = "text", strict: bool = False) -> DataFrame:

@@ -22,8 +22,13 @@ def strip(text: Column) -> Column:
 
 
 def by_document(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Deal documents out by key, once; offsets and sentences of a document then stay together."""
-    return docs.repartition(key)
+    """Deal documents out by key, once; offsets and sentences of a document then stay together.
+    Joins on a document's sentences and words may then use that order too, which Spark allows
+    when not all of their keys have to be in it."""
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # A number of partitions keeps small but costly texts from being put together in one task.
+    return docs.repartition(int(conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

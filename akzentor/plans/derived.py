@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from akzentor.functions import marks
-from akzentor.functions.alphabet import CYRILLIC, LATIN, NOT_W, W
+from akzentor.functions.alphabet import CYRILLIC, LATIN, NOT_W, VOWELS, WORD, V, W, in_class
 from akzentor.operators.tokenize import by_document, lines
 
 KEYS = ["doc_id", "line_no"]
 LIBS = ["first", "last", "near"]
+#: Signs of words that are no vowels.
+C = in_class("".join(c for c in WORD if c not in VOWELS))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,22 +30,13 @@ def span_texts(text: str = "text") -> Column:
     return F.regexp_extract_all(F.col(text), F.lit(f"({W}+|{NOT_W}+)"), F.lit(1))
 
 
-def _with_plus(word: Column, nth: Column) -> Column:
-    """A word with a plus before its nth vowel."""
-    at = F.get(marks.vowel_positions(word), nth)
-    return F.when(at.isNull(), word).otherwise(F.concat(F.substr(word, F.lit(1), at), F.lit("+"), F.substr(word, at + 1, F.length(word))))
-
-
 def _written(choose) -> Column:
     """The sentence with a plus in each word that needs a stress, at the vowel that
     choose(word, number of vowels, span number) gives; null leaves the word without."""
-
-    def one(s: Column, i: Column) -> Column:
-        n = marks.count_vowels(s)
-        k = choose(s, n, i)
-        return F.when((n >= 2) & F.rlike(s, F.lit(f"^{W}")) & k.isNotNull(), _with_plus(s, k)).otherwise(s)
-
-    return F.array_join(F.transform(span_texts(), one), "")
+    # Two steps, so that a span's vowels are counted once.
+    counted = F.transform(span_texts(), lambda s, i: F.struct(s.alias("s"), F.when(F.rlike(s, F.lit(f"^{W}")), marks.count_vowels(s)).otherwise(0).alias("n"), i.alias("i")))
+    placed = F.transform(counted, lambda x: F.struct(x["s"].alias("s"), F.when(x["n"] >= 2, marks.nth_vowel(x["s"], choose(x["s"], x["n"], x["i"]))).alias("at")))
+    return F.array_join(F.transform(placed, lambda x: F.when(x["at"].isNull(), x["s"]).otherwise(F.concat(F.substr(x["s"], F.lit(1), x["at"]), F.lit("+"), F.substr(x["s"], x["at"] + 1, F.length(x["s"]))))), "")
 
 
 def gold_vowel(word: Column, n: Column) -> Column:
@@ -60,7 +53,10 @@ def annotated(own: DataFrame) -> DataFrame:
     a leading sign more in every 17th line and a failure in every 50th."""
     near = _written(lambda w, n, i: F.when((i + F.col("doc_id")) % 11 == 0, F.lit(None).cast("int")).when((i + F.col("doc_id")) % 7 == 0, F.lit(0)).otherwise(gold_vowel(w, n)))
     near = F.when(F.col("line_no") % 17 == 5, F.concat(F.lit("а "), near)).otherwise(near)
-    libs = {"first": _written(lambda w, n, i: F.lit(0)), "last": _written(lambda w, n, i: n - 1), "near": near}
+    # The first and the last vowel can be found in the whole text at once.
+    first = F.regexp_replace("text", f"(?<!{W})({C}*)({V})(?={C}*{V})", "$1+$2")
+    last = F.regexp_replace("text", f"(?<!{W})({W}*{V}{C}*)({V})({C}*)(?!{W})", "$1+$2$3")
+    libs = {"first": first, "last": last, "near": near}
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("lib"), t.alias("accented_text")) for k, t in libs.items())))
     out = own.select(*KEYS, rows.alias("r")).select("r.lib", *KEYS, "r.accented_text")
     return out.withColumn("error", (F.col("lib") == "near") & ((F.col("doc_id") + F.col("line_no")) % 50 == 49))

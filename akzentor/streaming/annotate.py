@@ -17,7 +17,7 @@ def annotate_lines(docs: DataFrame, config: AccentConfig = AccentConfig()) -> Da
 
     def one(w):
         place, _ = simple_position(w, F.lit(None).cast("array<int>"), config)
-        place = F.coalesce(place, F.get(marks.vowel_positions(w), F.lit(0)) if config.use_heuristic else F.lit(None).cast("int"))
+        place = F.coalesce(place, marks.first_vowel(w) if config.use_heuristic else F.lit(None).cast("int"))
         return F.when(F.rlike(w, F.lit(f"^{W}")) & place.isNotNull(), F.concat(F.substr(w, F.lit(1), place), F.lit("+"), F.substr(w, place + 1, F.length(w)))).otherwise(w)
 
     spans = F.regexp_extract_all("text", F.lit(f"({W}+|{NOT_W}+)"), F.lit(1))
