@@ -131,7 +131,7 @@ def needs_stress(word: Column | str) -> Column:
 def is_scored(word: Column | str, char_index: Column | str, start: Column | None = None) -> Column:
     """Words that count in an evaluation: they need a stress, have one, and hold no hyphen."""
     w, at = _col(word), _col(char_index)
-    out = needs_stress(w) & ~F.contains(w, F.lit("-")) & at.isNotNull()
+    out = at.isNotNull() & ~F.contains(w, F.lit("-")) & needs_stress(w)  # the cheap tests first
     return F.coalesce(out if start is None else out & start.isNotNull(), F.lit(False))
 
 
