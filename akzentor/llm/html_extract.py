@@ -42,7 +42,7 @@ CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 ENDS_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "tfoot", "thead", "caption", "option", "optgroup", "legend"}
 #: Words in a class, id or role that mark what is no part of an article.
 CHROME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|pagination|pager|toolbar|sidebar|side|rail|widget\w*|footer|foot|header|masthead|topbar|comments?|commentlist|reply|replies|respond|disqus|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search\w*|tags|banner|navigation|complementary|contentinfo)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|pagination|pager|toolbar|sidebar|side|rail|widget\w*|footer|foot|header|masthead|topbar|comments?|commentlist|reply|replies|respond|disqus|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search\w*|tags|navigation|complementary|contentinfo|disclaimer|copyright|warning|announcement\w*|skip\w*|adbox|adslot|adwrap\w*)(?:$|[\s_-])",
     re.I,
 )
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>)""", re.S)
