@@ -49,8 +49,8 @@ def acutes(text: Column | str) -> Column:
 def first_stress(word: Column | str) -> Column:
     """Place of a marked word's first stressed vowel in the word without marks; null if none."""
     w = _col(word)
-    at = F.regexp_instr(w, F.lit(rf"\+{V}|{V}[{GRAVE}{ACUTE}]"))
-    return F.when(at > 0, F.length(remove_marks(F.substr(w, F.lit(1), at - 1))))
+    upto = F.regexp_extract(w, rf"(?s)^(.*?(?:\+{V}|{V}[{GRAVE}{ACUTE}]))", 1)
+    return F.nullif(F.length(remove_marks(upto)), F.lit(0)) - 1
 
 
 def insert_at(clean: Column | str, positions: Column | str, mark: str = PLUS, after: bool = False) -> Column:
@@ -97,8 +97,7 @@ def nth_vowel(word: Column | str, n: Column) -> Column:
 def first_vowel(word: Column | str) -> Column:
     """Place of the first vowel; null if there is none."""
     w = _col(word)
-    at = F.regexp_instr(w, F.lit(V))
-    return F.when(at > 0, at - 1)
+    return F.nullif(F.length(F.regexp_extract(w, f"^({NOT_V}*{V})", 1)), F.lit(0)) - 1
 
 
 def vowel_index(word: Column | str, char_index: Column | str) -> Column:

@@ -120,6 +120,8 @@ def test_word_functions(spark):
     vowel = lambda w: [i for i, c in enumerate(w) if c in VOWELS]
     assert column(spark, marks.count_vowels, words) == [len(vowel(w)) for w in words]
     assert column(spark, marks.vowel_positions, words) == [vowel(w) for w in words]
+    assert column(spark, marks.first_vowel, ["😀" + w for w in words]) == [vowel(w)[0] + 1 if vowel(w) else None for w in words]
+    assert column(spark, lambda x: marks.nth_vowel(x, F.lit(1)), ["😀" + w for w in words]) == [vowel(w)[1] + 1 if len(vowel(w)) > 1 else None for w in words]
     assert column(spark, marks.fold, words) == [w.lower().replace("ё", "е") for w in words]
     assert column(spark, marks.needs_stress, words) == [len(vowel(w)) >= 2 and not set("ёЁ") & set(w) for w in words]
     assert column(spark, marks.yo_position, words) == [w.find("ё") if "ё" in w else w.find("Ё") for w in words]
