@@ -34,16 +34,16 @@ def sentence_metrics(aligned: DataFrame, keys: list[str]) -> DataFrame:
 
 def common_words(metrics: DataFrame, keys: list[str], libs: list[str]) -> DataFrame:
     """(lib, common, errors): over the words that every annotator stressed, none of which can then
-    lack a stress. A word of a sentence counts if as many annotators checked it as there are; which
-    of them were wrong is a number's bits, so there may be up to 63 of them."""
-    names = sorted(libs)
-    if len(names) > 63:
-        raise ValueError("more than 63 annotators")
-    bit = F.coalesce(*(F.when(F.col("lib") == n, F.lit(1 << i).cast("long")) for i, n in enumerate(names)))
-    checked = metrics.select(*keys, bit.alias("_bit"), F.explode("checked").alias("c")).select(*keys, "c.g", F.when(F.col("c.wrong"), F.col("_bit")).otherwise(F.lit(0)).alias("_bad"))
-    word = checked.groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("_seen"), F.bit_or("_bad").alias("_bad"))
-    sums = word.filter(F.col("_seen") == len(names)).agg(F.count(F.lit(1)).alias("common"), *(F.count_if(F.col("_bad").bitwiseAND(F.lit(1 << i)) != 0).alias(f"e{i}") for i in range(len(names))))
-    return sums.select(F.explode(F.array(*(F.struct(F.lit(n).alias("lib"), F.col("common"), F.col(f"e{i}").alias("errors")) for i, n in enumerate(names)))).alias("r")).select("r.*")
+    lack a stress. The annotators' rows of a sentence meet, each with the indices of its words as
+    an array; intersections of these are all that has to be worked out."""
+    index = lambda c: F.transform(c, lambda x: x["g"])
+    row = F.struct("lib", index(F.col("checked")).alias("all"), index(F.filter("checked", lambda x: x["wrong"])).alias("bad"))
+    met = metrics.filter(F.col("lib").isin(libs)).groupBy(*keys).agg(F.collect_list(row).alias("r")).filter(F.size("r") == len(libs))
+    shared = F.aggregate(F.slice("r", 2, len(libs)), F.col("r")[0]["all"], lambda acc, x: F.array_intersect(acc, x["all"]))
+    met = met.withColumn("shared", shared).filter(F.size("shared") > 0).select("shared", F.explode("r").alias("r"))
+    own = met.groupBy("r.lib").agg(F.sum(F.size("shared")).alias("common"), F.sum(F.size(F.array_intersect("r.bad", "shared"))).alias("errors"))
+    names = metrics.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, sorted(libs)))).alias("lib"))
+    return names.join(own, "lib", "left").select("lib", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("common", "errors")))
 
 
 def library_totals(metrics: DataFrame) -> DataFrame:
