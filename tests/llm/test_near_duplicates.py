@@ -134,6 +134,40 @@ def test_embedding_links_against_all_pairs(spark, seed, monkeypatch):
     assert got[9008]["component_id"] == 9007 and got[9007]["n_links"] == 1
 
 
+def crowd(shared, apart, n=3000, pairs=300, d=64):
+    """Vectors whose neighbours are nearly all just too far, and lone near pairs among them."""
+    rng = np.random.default_rng(11)
+    x = shared * rng.standard_normal(d) + rng.standard_normal((n, d))
+    x[n - pairs :] = x[:pairs] + apart * rng.standard_normal((pairs, d))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = unit @ unit.T >= 0.93
+    np.fill_diagonal(hit, False)
+    return x, hit
+
+
+@pytest.mark.parametrize("shared, apart, bucket", [(2.5, 0.9, 1024), (2.5, 0.9, 64), (0.0, 0.38, 32)])
+def test_embedding_lone_pairs_in_a_crowd(spark, monkeypatch, shared, apart, bucket):
+    monkeypatch.setattr(vec_neardup, "BUCKET", bucket, raising=False)
+    x, hit = crowd(shared, apart)
+    want = union_find(range(len(x)), list(zip(*(a.tolist() for a in np.nonzero(hit)))))
+    assert 100 < hit.sum() // 2 < 300
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    # Few window passes, so that the buckets have something to find even without a crowd.
+    got = {r["vec_id"]: r for r in vec_neardup.near_duplicates(rows, passes=12 if shared else 1, window=64 if shared else 8).collect()}
+    assert {i: got[i]["component_id"] for i in want} == want
+    assert [got[i]["n_links"] for i in range(len(x))] == hit.sum(axis=1).tolist()
+    if not shared:
+        own = rows.selectExpr("cast(label as long) label", "vec_id rep", "vec_id component", "embedding v")
+        assert vec_neardup._plans(own, 0.93, vec_neardup.MISS, 1).first()["bits"] > 0
+
+
+def test_embedding_buckets_miss_no_more_than_stated():
+    angle = np.arccos(0.93) / np.pi
+    for bits in range(2, vec_neardup.SIGNS + 1, 2):
+        assert (1 - (1 - angle) ** bits) ** vec_neardup.passes_for(bits, 0.93) <= vec_neardup.MISS
+    assert vec_neardup.passes_for(0, 0.93) == 1
+
+
 def test_embedding_empty_and_repeated(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert vec_neardup.near_duplicates(spark.createDataFrame([], kind)).collect() == []
