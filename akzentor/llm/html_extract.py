@@ -6,8 +6,9 @@ each token has an occurrence vector, its count on every page; tokens with equal
 equivalence class. Vectors are kept as sums of count * hash(page), so that they add up in any
 order and no list grows with a host. Classes that are frequent enough are valid; nested by
 their elements' paths they are the host's template. What they leave open are slots. The slot of
-the main text is the template's article or main element, or else the deepest element that
-holds most of the host's running text. Pages of a host with no template go by their own marks.
+the main text is the template's article or main element. A page without one, once the texts of
+the template are taken out, has it in the lowest element that holds all of its running text.
+Pages of a host with no template go by their own marks.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ from akzentor.llm.common import keep, small_batches
 SUPPORT, LEAST_PAGES = 0.5, 2
 #: The same for texts that the template itself has: passages that some pages share stay.
 TEXT_SUPPORT, LEAST_TEXT_PAGES = 0.8, 4
-#: Share of the running text that the main element holds where no element is marked as main.
-MASS = 0.6
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,9 +41,11 @@ CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 ENDS_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "tfoot", "thead", "caption", "option", "optgroup", "legend"}
 #: Words in a class, id or role that mark what is no part of an article.
 CHROME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|pagination|pager|toolbar|sidebar|side|rail|widget\w*|footer|foot|header|masthead|topbar|comments?|commentlist|reply|replies|respond|disqus|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search\w*|tags|navigation|complementary|contentinfo|disclaimer|copyright|warning|announcement\w*|skip\w*|adbox|adslot|adwrap\w*)(?:$|[\s_-])",
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|pagination|pager|toolbar|sidebar|side|rail|widget\w*|footer|foot|header|masthead|topbar|comments?|commentlist|reply|replies|respond|disqus|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search\w*|tags|navigation|complementary|contentinfo|disclaimer|copyright|warning|announcement\w*|skip\w*|adbox|adslot|adwrap\w*)",
     re.I,
 )
+#: Words that such names are made of besides; a name with any other word, as has-sidebar, marks nothing.
+BESIDES = frozenset("area bar block blocks bottom box btn button buttons col column container entries foot form global group head inner item items left link links list local main mobile outer page panel policy post posts primary right row secondary section site slot stories text title top unit wrap wrapper 9".split())
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>)""", re.S)
 _MARKS = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _DIGITS = re.compile(r"\d+")
@@ -53,13 +54,15 @@ _DIGITS = re.compile(r"\d+")
 class Node:
     """An open element."""
 
-    __slots__ = ("tag", "up", "role", "chrome", "main", "link", "block", "text")
+    __slots__ = ("tag", "up", "role", "chrome", "hard", "named", "main", "link", "block", "text")
 
-    def __init__(self, tag: str, up: Node | None, marks: str, chrome: bool, main: int) -> None:
+    def __init__(self, tag: str, up: Node | None, marks: str, hard: bool, named: bool, main: int) -> None:
         self.tag, self.up, self.block = tag, up, tag in BLOCK
         self.role = xxhash.xxh3_64_intdigest(f"{tag} {marks}", seed=up.role if up else 0) >> 1 if self.block else (up.role if up else 0)
-        self.chrome = chrome or (up.chrome if up else False)
         self.main = max(main, up.main if up else 0)  # 1: within a main element, 2: within an article
+        self.hard = hard or (up.hard if up else False)  # no part of an article by an element's kind
+        self.named = max(self.main if named else -1, up.named if up else -1)  # the same by a name: `main` where it stands, -1 for none
+        self.chrome = self.hard or self.named >= 0
         self.link = tag == "a" or (up.link if up else False)
         self.text = 0
 
@@ -71,9 +74,31 @@ class Block:
         self.text, self.node, self.linked = text, node, linked
 
 
+def is_chrome(names: str) -> bool:
+    """If any of the names, as a whole, marks what is no part of an article."""
+    for name in names.split():
+        parts = [p for p in re.split(r"[_-]+", _DIGITS.sub("9", name).lower()) if p]
+        found = [bool(CHROME.fullmatch(p)) for p in parts]
+        if any(found) and all(f or p in BESIDES for f, p in zip(found, parts, strict=True)):
+            return True
+    return False
+
+
+def _lift(nodes: list[Node], blocks: list[Block]) -> None:
+    """An article or main element stays whatever the names of what encloses it, unless the page has
+    more text elsewhere (comments and teasers can be articles too)."""
+    others = sum(len(b.text) for b in blocks if not b.node.chrome)
+    for level in (2, 1):
+        fits = lambda x: x.main == level and x.chrome and not x.hard and x.named < level  # noqa: B023, E731
+        if sum(len(b.text) for b in blocks if fits(b.node)) > others:
+            for x in [x for x in nodes if fits(x)]:
+                x.chrome = False
+            return
+
+
 def parse(page: str) -> tuple[list[Node], list[Block]]:
     """The block elements of a page in order, and its blocks of text, white space made single."""
-    top = Node("", None, "", False, 0)
+    top = Node("", None, "", False, False, 0)
     nodes: list[Node] = []
     blocks: list[Block] = []
     here, parts, linked, at, n = top, [], 0, 0, len(page)
@@ -163,12 +188,15 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         if tag in BLOCK:
             flush()
         names = " ".join(v for k, v in marks.items() if k in ("class", "id", "role"))
-        chrome = tag in NO_TEXT or bool(names and tag not in ("html", "body", "article", "main") and CHROME.search(names)) or marks.get("aria-hidden") == "true"
+        hard = tag in NO_TEXT or marks.get("aria-hidden") == "true"
         main = 2 if tag == "article" or marks.get("itemprop") == "articleBody" else 1 if tag == "main" or marks.get("role") == "main" else 0
-        here = Node(tag, here, _DIGITS.sub("9", names), chrome, main)
+        named = bool(names) and not main and tag not in ("html", "body") and is_chrome(names)
+        here = Node(tag, here, _DIGITS.sub("9", names), hard, named, main)
         if here.block:
             nodes.append(here)
     flush()
+    if any(b.node.named >= 0 and b.node.main for b in blocks):
+        _lift(nodes, blocks)
     for b in blocks:
         if not b.node.chrome:
             x, size = b.node, len(b.text) - b.linked
@@ -240,22 +268,37 @@ def deduce_templates(pages: DataFrame, key: str = "page_id", url: str = "url", h
 
 
 def main_slots(templates: DataFrame) -> DataFrame:
-    """(host, slot, fixed): the token of the element that holds the main text, and the texts that the
-    template itself has outside of it."""
-    once = templates.filter("once").filter(F.col("kind").isin(*CONTAINERS))
-    # Elements that stand once on a page: an article first, then a main element, then the deepest with most of the text.
-    ranked = once.withColumn("whole", F.max("text").over(Window.partitionBy("host")))
-    ranked = ranked.filter((F.col("main") > 0) | (F.col("text") >= F.col("whole") * MASS))
-    best = ranked.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("main"), F.desc("place"), "token"))).filter("r = 1")
+    """(host, slot, fixed): the token of the template's article or main element, null if it has none, and
+    the texts that the template itself has outside of it."""
+    once = templates.filter("once").filter(F.col("kind").isin(*CONTAINERS)).filter(F.col("main") > 0)
+    # Elements that stand once on a page: an article first, then a main element.
+    best = once.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("main"), F.desc("place"), "token"))).filter("r = 1")
     same = (F.col("pages") >= LEAST_TEXT_PAGES) & (F.col("pages") >= F.col("host_pages") * TEXT_SUPPORT)
     fixed = templates.filter("once and kind = ''").filter(same).groupBy("host").agg(F.collect_set("token").alias("fixed"))
-    return best.select("host", F.col("token").alias("slot"), "main").join(fixed, "host", "left")
+    return best.select("host", F.col("token").alias("slot"), "main").join(fixed, "host", "full")
+
+
+def lowest(blocks: list[Block]) -> Node | None:
+    """The lowest container that holds all running text of the blocks, all their text if none runs."""
+    running = [b for b in blocks if len(b.text) > b.linked] or blocks
+    path, x = [], running[0].node
+    while x is not None:
+        path.append(x)
+        x = x.up
+    place, at = {x: i for i, x in enumerate(path)}, 0
+    for b in running:
+        x = b.node
+        while x not in place:
+            x = x.up
+        at = max(at, place[x])
+    return next((x for x in path[at:] if x.tag in CONTAINERS), None)
 
 
 def main_text(page: str, slot: int | None = None, fixed: frozenset[int] = frozenset()) -> str:
     """The main text of a page: its blocks within the slot's element if it has one, else within its
-    articles, its main elements, or the deepest element with most of its running text."""
-    nodes, blocks = parse(page)
+    articles, its main elements, or the lowest element with all of its running text that isn't the
+    template's."""
+    _, blocks = parse(page)
     blocks = [b for b in blocks if not b.node.chrome]
 
     def within(test) -> list[Block]:
@@ -283,11 +326,10 @@ def main_text(page: str, slot: int | None = None, fixed: frozenset[int] = frozen
         if most:
             chosen = [b for b in blocks if b.node.main == most]
     if not chosen and blocks:
-        whole = max((x.text for x in nodes), default=0)
-        deep = [x for x in nodes if not x.chrome and x.tag in CONTAINERS and x.text >= whole * MASS]
-        chosen = within(lambda x: x is deep[-1]) if deep else blocks
-    if fixed:
-        chosen = [b for b in chosen if b.node.main or xxhash.xxh3_64_intdigest(b.text, seed=b.node.role) >> 1 not in fixed] or chosen
+        if fixed:
+            blocks = [b for b in blocks if b.node.main or xxhash.xxh3_64_intdigest(b.text, seed=b.node.role) >> 1 not in fixed] or blocks
+        whole = lowest(blocks)
+        chosen = within(lambda x: x is whole) if whole is not None else blocks
     return "\n".join(b.text for b in chosen)
 
 

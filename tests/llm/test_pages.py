@@ -42,6 +42,33 @@ def test_single_pages(page, text):
     assert hx.main_text(page) == text
 
 
+LEAD, REST = "lead " * 30, "rest " * 70
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><div class=lead>{LEAD}</div><div class=body>{REST}</div></body>", f"{LEAD.strip()}\n{REST.strip()}"),
+        (f"<div class=lead>{LEAD}</div><div class=body>{REST}</div>", f"{LEAD.strip()}\n{REST.strip()}"),
+        (f"<body><table><tr><td>short<td>{REST}</table></body>", f"short\n{REST.strip()}"),
+        (f"<body><nav>Home</nav><div class=site-footer>All rights</div><div id=x><div>{LEAD}</div><div>{REST}</div></div></body>", f"{LEAD.strip()}\n{REST.strip()}"),
+        ("<body><div class='content has-sidebar'><article><p>a</article></div></body>", "a"), ("<body><div class='content no-sidebar'><p>a</p></div></body>", "a"),
+        ("<body><div class=widget><main><p>the text<div class=comments>c</div></main></div><p>by X</body>", "the text"),
+        ("<body><article>the text<div class=comments><article>a longer comment</article></div></article></body>", "the text"),
+        ("<body><main>the text of it<div class=related><article>teaser</article></div></main></body>", "the text of it"),
+    ],
+)
+def test_all_of_the_text_stays(page, text):
+    assert hx.main_text(page) == text
+
+
+def test_a_host_without_an_article_keeps_all_of_the_text(spark):
+    page = "<body><div class=top>The same on every page</div><div class=lead>%s</div><div class=body>%s</div></body>"
+    rows = [(i, "http://e.example/", page % (f"{i} {LEAD}", f"{i} {REST}")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{i} {LEAD.strip()}\n{i} {REST.strip()}" for i in range(6)}
+
+
 def test_edge_rows(spark):
     kind = "page_id long, url string, html string, host string, text string, slot long"
     rows = [(1, None, None, "h", "t", 1), (2, "", "", None, None, None), (None, "nonsense", "<article>x</article>", "h", "t", 1), (3, "http://h/", "<article>" + "w " * 300_000 + "</article>", "h", "t", 1), (4, "http://H/", "<p>same", "h", "t", 1), (4, "http://h:80/", "<p>same", "h", "t", 1)]
