@@ -216,7 +216,7 @@ done AS (SELECT t.*, coalesce(at1, at2) AS at3, coalesce(m2, m1) AS m3, coalesce
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = tokenize.words(derived.sentences(spark, sf_dir), KEYS)
-    return cascade.resolve(own, derived.dictionary(spark, sf_dir), [*KEYS, "word_no"])
+    return cascade.resolve(own, derived.dictionary(spark, sf_dir), [*KEYS, "word_no"], late_parts=True)
 
 
 @query(f"WITH {SENT}, {DICT}, {WORDS}, {CASCADE} SELECT doc_id, line_no, word_no, text, CAST(CASE WHEN at3 IS NOT NULL THEN at3 WHEN {nv('text')} > 0 THEN {vowel_at('text', '0')} - 1 END AS INTEGER) AS stress_char_index, CASE WHEN at3 IS NOT NULL OR {nv('text')} = 0 THEN m3 ELSE 'HEURISTIC' END AS method, CAST(subs AS INTEGER) AS n_sub FROM done")

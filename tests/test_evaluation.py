@@ -112,6 +112,39 @@ def test_cascade(spark):
     assert (mono["stress_char_index"], mono["method"]) == (1, "MONO") and set("кот") & set(VOWELS)
 
 
+def test_cascade_late_parts(spark):
+    known = spark.createDataFrame([("по", [1])], "form string, positions array<int>")
+    words = spark.createDataFrame(list(enumerate(["да-да", "ворона-брр-сова", "по-да", "-", "брр-", "ворона", "да--да"])), "k int, text string")
+    rows = {r["text"]: (r["stress_char_index"], r["stress_vowel_index"], r["method"], r["sub_stresses"]) for r in cascade.resolve(words, known, ["k"], late_parts=True).collect()}
+    assert rows == {
+        "да-да": (1, 0, "HEURISTIC", [4]), "ворона-брр-сова": (1, 0, "HEURISTIC", [12]), "по-да": (1, 0, "DICT_SINGLE", []), "-": (None, None, "NON_WORD", []),
+        "брр-": (None, None, "NON_WORD", []), "ворона": (1, 0, "HEURISTIC", []), "да--да": (1, 0, "HEURISTIC", [5]),
+    }
+    predicted = spark.createDataFrame([(0, 0), (1, 1), (5, 3)], "k int, position int")
+    by_part = spark.createDataFrame([(0, 1, 1), (1, 0, 3), (1, 2, 3), (6, 0, 0)], "k int, part_no int, position int")
+    rows = {r["text"]: (r["stress_char_index"], r["method"], r["sub_stresses"]) for r in cascade.resolve(words, known, ["k"], predicted=predicted, late_parts=True, predicted_parts=by_part).collect()}
+    assert rows["да-да"] == (4, "HEURISTIC", []) and rows["ворона-брр-сова"] == (3, "HEURISTIC", [14]) and rows["ворона"] == (3, "HEURISTIC", []) and rows["да--да"] == (None, "UNKNOWN", [])
+
+
+def test_query_late_parts(spark, tmp_path):
+    from akzentor.plans import queries
+
+    spark.createDataFrame([(1, "Zurna-borla zurna.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "lorem ipsum")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {r["word_no"]: (r["method"], r["n_sub"]) for r in queries.resolver_cascade(spark, str(tmp_path)).collect()}
+    assert rows == {0: ("HEURISTIC", 1), 1: ("HEURISTIC", 0)}
+
+
+def test_engine_late_parts(spark):
+    from akzentor.engine import StressEngine
+
+    engine = StressEngine(spark, spark.createDataFrame([("по", [1])], "form string, positions array<int>"))
+    assert engine("Говорит: дам-дам.") == "Г+оворит: д+ам-д+ам."
+    forms, tails = spark.createDataFrame([("замок", "3")], "form string, positions string"), spark.createDataFrame([("а", ""), ("", "а")], "word_suffix string, norm_suffix string")
+    asked = StressEngine(spark, engine.dictionary, forms, tails)
+    assert asked("замока-замока") == "зам+ока-зам+ока"
+
+
 def test_morphology_compatible(spark):
     from akzentor.operators import morph
 
