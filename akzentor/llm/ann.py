@@ -1,11 +1,16 @@
 """Approximate nearest neighbours with randomly rotated one-bit codes.
 
-A unit vector o, rotated by a random orthogonal matrix, is coded by the signs of its components;
-one scalar s = <sign(o')/sqrt(d), o'> corrects the estimate <q, o> ~ <q', sign(o')>/(sqrt(d) s).
-The estimate's error has a bound of eps * sqrt(1/s^2 - 1) / sqrt(d - 1) that holds but for a
-share that falls exponentially in eps^2; vectors whose upper bound reaches the k-th best known
-similarity are ranked again with the original vectors. The index is a table of chunks with
-packed codes; queries meet it in blocks.
+A unit vector o is turned by a random orthonormal map into L >= 256 dimensions (short vectors are
+padded by it) and coded by the signs of what comes out; one scalar s = <sign(o')/sqrt(L), o'>
+corrects the estimate <q, o> ~ <q', sign(o')>/(sqrt(L) s). A query's turned vector is quantised
+to PLANES bits a component, so the estimate is a weighted sum of popcounts of its bit planes
+against a packed code. The estimate's error stays within eps * sqrt((1/s^2 - 1)/(L - 1) + r^2/s^2),
+r being the query's rounding error, but for a share that falls exponentially in eps^2.
+
+A search passes twice over the codes, in cells of a block of queries and a group of codes. The
+first pass finds the k best estimates of each query, whose exact cosines give one floor a query for
+all cells; the second gives the vectors whose upper bound reaches that floor. Only those meet
+the original vectors. Equal vectors share a code.
 """
 
 from __future__ import annotations
@@ -17,138 +22,278 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from akzentor.llm.common import keep
 from akzentor.llm.vectors import matrices, projections, usable
 
-CHUNK, QUERIES, CHUNKS_TOGETHER = 4096, 1024, 8
-EPS = 4.0
+#: Least bits of a code, bits of a query's component, and error bounds in standard deviations.
+BITS, PLANES, EPS = 256, 4, 1.9
+#: Most queries of a block, and pairs of a cell below which cells aren't made smaller.
+BLOCK, CELL_PAIRS = 1 << 18, 1 << 22
+#: Queries and codes whose estimates are held at a time.
+TILE_QUERIES, TILE_CODES = 16, 2048
+
 
-INDEX = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("salt", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("ids", "vectors", "codes", "scales"))])
+def length(dim: int) -> int:
+    """Bits of the codes of vectors of a dimension: whole 64-bit words."""
+    return max(BITS, -(-dim // 64) * 64)
 
 
 @lru_cache(maxsize=8)
 def rotation(dim: int, seed: int) -> np.ndarray:
-    q, r = np.linalg.qr(projections(dim, dim, seed))
-    return q * np.sign(np.diag(r))
+    """A random orthonormal map from `dim` to `length(dim)` dimensions."""
+    q, r = np.linalg.qr(projections(length(dim), dim, seed).reshape(length(dim), dim))
+    return (q * np.sign(np.diag(r))).T.copy()
+
+
+def turn(x: np.ndarray, seed: int) -> np.ndarray:
+    return (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ rotation(x.shape[1], seed)
 
 
 def encode(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(packed signs of the rotated vectors, correction scalars) of rows of x."""
-    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
-    turned = unit @ rotation(x.shape[1], seed)
-    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(x.shape[1])
+    """(words of the packed signs, correction scalars) of rows of x."""
+    turned = turn(x, seed)
+    return np.packbits(turned > 0, axis=1, bitorder="little").view(np.uint64), np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
+
+
+def quantise(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bit planes, numbers) of rows of x as queries: planes are words by row and plane, numbers
+    the lowest component, the step and the sum of the turned and rounded vector."""
+    turned = turn(x, seed)
+    low = turned.min(axis=1)
+    step = np.maximum((turned.max(axis=1) - low) / ((1 << PLANES) - 1), 1e-12)
+    level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+    planes = np.stack([np.packbits((level >> p) & 1, axis=1, bitorder="little") for p in range(PLANES)], axis=1)
+    return np.ascontiguousarray(planes).view(np.uint64), np.column_stack([low, step, low * turned.shape[1] + step * level.sum(axis=1)])
+
+
+def estimates(planes: np.ndarray, numbers: np.ndarray, codes: np.ndarray, ones: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    """Estimated cosines, queries by codes, from popcounts of packed bits."""
+    both = np.zeros((len(planes), len(codes)), np.uint32)
+    bits, count = np.empty(both.shape, np.uint64), np.empty(both.shape, np.uint8)
+    for p in reversed(range(planes.shape[1])):
+        both += both
+        for w in range(codes.shape[1]):
+            np.bitwise_and(planes[:, p, w, None], codes[None, :, w], out=bits)
+            both += np.bitwise_count(bits, out=count)
+    low, step, total = (numbers[:, i, None].astype(np.float32) for i in range(3))
+    inner = both * (2 * step) + (ones * (2 * low) - total)
+    return inner * (1 / (np.sqrt(64 * codes.shape[1]) * scales)).astype(np.float32)
+
+
+def slack(steps: np.ndarray, bits: int, scales: np.ndarray, eps: float) -> np.ndarray:
+    """Error bound of the estimates of codes for queries with such steps (the coarsest decides)."""
+    rounding = steps.max() ** 2 / 12
+    return (eps * np.sqrt(np.maximum(1 / scales**2 - 1, 0) / (bits - 1) + rounding / scales**2) + 1e-5).astype(np.float32)
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of paired rows, in double precision."""
+    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+
+
+def _unique(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v): usable rows with a key; of rows that share one, the least vector."""
+    own = vectors.filter(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    again = own.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    if again.isEmpty():
+        return own
+    least = own.join(again, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"))
+    return own.join(again, "id", "left_anti").unionByName(least)
+
+
+def _hashes(own: DataFrame) -> DataFrame:
+    return own.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
+
+
+def _words(column: pa.Array, width: int) -> np.ndarray:
+    """Words of a binary column, each value of `width` of them."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64).reshape(len(column), width)
 
 
 def build_index(vectors: DataFrame, seed: int = 7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """A row per chunk of up to CHUNK vectors of one dimension: ids, vectors, codes and scalars as
-    packed bytes. Every usable row with a key is in it. A pass without a shuffle."""
-    source = vectors.filter(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    """(dim, h1, h2, code, scale, rep, n): a code for each distinct usable vector; every row with a key is
+    in one, `n` of them, `rep` being the smallest key. Vectors aren't shuffled, codes are.
+
+    Null, empty, zero and non-finite vectors and null keys are left out; of rows that share a key the
+    least vector counts; an empty table gives an empty index; other columns aren't read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, TILE_CODES):
+                part = batch.slice(at, TILE_CODES)
+                for rows, x in matrices(pa.concat_arrays([part.column(3)])):
+                    codes, scales = encode(x.astype(np.float64), seed)
+                    own = part.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), x.shape[1], np.int32)), *(own.column(i) for i in range(3)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scales.astype(np.float32))], names=["dim", "id", "h1", "h2", "code", "scale"])
+
+    coded = _hashes(_unique(vectors, key, vector)).select("id", "h1", "h2", "v").mapInArrow(run, "dim int, id long, h1 long, h2 long, code binary, scale float")
+    return coded.groupBy("dim", "h1", "h2", "code", "scale").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
-        def chunk(d: int) -> pa.RecordBatch:
-            ids, x = (np.concatenate(p) for p in zip(*held.pop(d), strict=True))
-            codes, scales = encode(x, seed)
-            salt = int(np.bitwise_xor.reduce(ids * np.int64(0x5851F42D4C957F2D) + len(ids)))
-            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([salt], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in (ids, x, codes, scales))], names=INDEX.names)
 
+def _asked(queries: DataFrame, seed: int) -> DataFrame:
+    """(dim, id, code, low, step, total): queries as bit planes and their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK // 2):
-                part = batch.slice(at, CHUNK // 2)
-                ids = part.column(0).to_numpy()
-                for rows, x in matrices(pa.concat_arrays([part.column(1)])):
-                    d = x.shape[1]
-                    held.setdefault(d, []).append((ids[rows], x))
-                    if sum(len(i) for i, _ in held[d]) >= CHUNK // 2:
-                        yield chunk(d)
-        for d in list(held):
-            yield chunk(d)
-
-    return source.mapInArrow(run, INDEX)
-
-
-def best_of(q: np.ndarray, qid: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, scales: np.ndarray, k: int, floor: np.ndarray, seed: int, eps: float = EPS) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query number, ids, exact cosines) of the k best in a chunk for each query, none below the
-    query's `floor`, which is raised to its k-th best so far."""
-    d = x.shape[1]
-    # Of equal vectors the k + 1 smallest distinct ids are enough, one of which may be the query's own.
-    order = np.lexsort([ids, *x.T])
-    ids, x, codes, scales = ids[order], x[order], codes[order], scales[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (x[1:] != x[:-1]).any(axis=1)
-    again = np.zeros(len(ids), bool)
-    again[1:] = ~new[1:] & (ids[1:] == ids[:-1])
-    ids, x, codes, scales, new = (a[~again] for a in (ids, x, codes, scales, new))
-    start = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
-    some = np.arange(len(ids)) - start <= k
-    ids, x, codes, scales = (a[some] for a in (ids, x, codes, scales))
-    signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
-    qn, xn = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
-    turned = ((q / qn[:, None]) @ rotation(d, seed)).astype(np.float32)
-    near = (turned @ signs.T) / (np.sqrt(d) * scales).astype(np.float32)
-    slack = (eps * np.sqrt(np.maximum(1 / scales**2 - 1, 0)) / np.sqrt(max(d - 1, 1)) + 1e-5).astype(np.float32)
-    out = []
-    for i in range(len(q)):
-        row = near[i]
-        low = np.where(ids == qid[i], -np.inf, row - slack)
-        least = max(floor[i], np.partition(low, len(low) - k)[len(low) - k] if len(low) >= k else -np.inf)
-        at = np.flatnonzero((row + slack >= least) & (ids != qid[i]))
-        if not len(at):
-            continue
-        score = (x[at] * q[i]).sum(axis=1) / (xn[at] * qn[i])
-        best = np.lexsort([ids[at], -score])
-        _, first = np.unique(ids[at][best], return_index=True)
-        best = best[np.sort(first)][:k]
-        if len(best) == k:
-            floor[i] = max(floor[i], score[best[-1]])
-        out.append((i, ids[at][best], score[best]))
-    return out
-
-
-def search(index: DataFrame, queries: DataFrame, k: int = 5, seed: int = 7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank from 1, vec_id, score): each query's k nearest by cosine, ties to the
-    smaller id; the row with the query's own id is no candidate.
-
-    Unusable vectors and null keys take no part; vectors meet those of their own dimension only.
-    Query rows that share a key count once, with the least of their vectors; candidates that share
-    a key count once, with their best. `index` should be a stored table: it is read twice.
-    """
-    asked = queries.filter(usable(vector) & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(F.col(vector).cast("array<double>")).alias("v"))
-    asked = keep(asked.withColumn("dim", F.size("v")), "queries")
-    n_queries = {r["dim"]: r["n"] for r in asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    n_chunks = {r["dim"]: r["n"] for r in index.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    dims = sorted(n_queries.keys() & n_chunks.keys())
-    spark = index.sparkSession
-    plan = spark.createDataFrame([(d, -(-n_queries[d] // QUERIES), -(-n_chunks[d] // CHUNKS_TOGETHER)) for d in dims], "dim int, blocks int, groups int")
-    blocks = asked.join(F.broadcast(plan), "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    blocks = keep(blocks.groupBy("dim", "block", "groups").agg(F.collect_list(F.struct("id", "v")).alias("asked")), "blocks")
-    left = index.join(F.broadcast(plan), "dim").withColumn("group", F.pmod("salt", F.col("groups")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    met = left.join(right, ["dim", "block", "group"]).select("dim", "asked.id", "asked.v", "ids", "vectors", "codes", "scales")
+            for rows, x in matrices(pa.concat_arrays([batch.column(1)])):
+                planes, numbers = quantise(x.astype(np.float64), seed)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), x.shape[1], np.int32)), batch.column(0).take(pa.array(rows)), pa.array([p.tobytes() for p in planes], pa.binary()), *(pa.array(c) for c in numbers.T)], names=["dim", "id", "code", "low", "step", "total"])
+
+    return queries.mapInArrow(run, "dim int, id long, code binary, low double, step double, total double")
+
+
+class _Block:
+    """The queries of a cell of one dimension, and what is known of their neighbours."""
+
+    def __init__(self, dim: int, k: int, eps: float) -> None:
+        self.words, self.k, self.eps, self.parts = length(dim) // 64, k, eps, []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.parts.append((batch.column(3).to_numpy(), _words(batch.column(4), PLANES * self.words).reshape(-1, PLANES, self.words), np.column_stack([batch.column(i).to_numpy() for i in (6, 7, 8)]), batch.column(9).to_numpy(zero_copy_only=False)))
+
+    def close(self) -> None:
+        self.ids, self.planes, self.numbers, self.floor = (np.concatenate(p) for p in zip(*self.parts, strict=True))
+        self.best = np.full((len(self.ids), self.k), -np.inf, np.float32)
+        self.near = np.zeros((len(self.ids), self.k), np.int64)
+
+    def tiles(self, batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(queries, reps, scalars, estimates) of a batch of codes, in tiles."""
+        reps, codes, scales = batch.column(3).to_numpy(), _words(batch.column(4), self.words), batch.column(5).to_numpy(zero_copy_only=False).astype(np.float64)
+        for c in range(0, len(reps), TILE_CODES):
+            own = slice(c, c + TILE_CODES)
+            ones = np.bitwise_count(codes[own]).sum(axis=1, dtype=np.float32)
+            for q in range(0, len(self.ids), TILE_QUERIES):
+                some = slice(q, q + TILE_QUERIES)
+                yield some, reps[own], scales[own], estimates(self.planes[some], self.numbers[some], codes[own], ones, scales[own])
+
+    def rank(self, batch: pa.RecordBatch) -> None:
+        """Take the batch's codes into the k best estimates of each query, its own vector apart."""
+        for some, reps, _, near in self.tiles(batch):
+            best, ids = self.best[some], self.near[some]
+            if np.isneginf(best[:, -1]).any():
+                m = min(self.k + 1, near.shape[1])
+                j = np.argpartition(near, near.shape[1] - m, axis=1)[:, -m:]
+                i = np.repeat(np.arange(len(near)), m)
+                j = j.ravel()
+            else:
+                i, j = np.nonzero(near > best[:, -1:])
+            new = reps[j] != self.ids[some][i]
+            i, j = i[new], j[new]
+            if not len(i):
+                continue
+            rows = np.concatenate([np.repeat(np.arange(len(best)), self.k), i])
+            values, names = np.concatenate([best.ravel(), near[i, j]]), np.concatenate([ids.ravel(), reps[j]])
+            order = np.lexsort([names, -values, rows])
+            starts = np.searchsorted(rows[order], np.arange(len(best)))
+            take = order[starts[:, None] + np.arange(self.k)]
+            self.best[some], self.near[some] = values[take], names[take]
+
+    def ranked(self) -> pa.RecordBatch:
+        i, j = np.nonzero(~np.isneginf(self.best))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[i]), pa.array(self.near[i, j]), pa.array(self.best[i, j])], names=["query_id", "rep", "near"])
+
+    def reached(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Pairs whose upper bound reaches the query's floor."""
+        for some, reps, scales, near in self.tiles(batch):
+            i, j = np.nonzero(near + slack(self.numbers[some, 1], 64 * self.words, scales, self.eps) >= self.floor[some, None])
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[some][i]), pa.array(reps[j])], names=["query_id", "rep"])
+
+
+def _cells(index: DataFrame, asked: DataFrame, sizes: tuple[int, int]) -> DataFrame:
+    """Queries (kind 0) and codes (kind 1) dealt into cells, each a partition: (cell, dim, kind, id, code,
+    scale, low, step, total, floor), sorted by cell, dim, kind."""
+    conf = index.sparkSession.conf
+    blocks = max(1, -(-sizes[0] // BLOCK))
+    tasks = 4 * max(int(conf.get("spark.sql.shuffle.partitions")), index.sparkSession.sparkContext.defaultParallelism)
+    groups = max(1, min(-(-sizes[1] * -(-sizes[0] // blocks) // CELL_PAIRS), -(-tasks // blocks)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = [F.lit(None).cast("double").alias(c) for c in ("low", "step", "total", "floor")]
+    q = asked.withColumns({"block": deal("id", blocks), "group": every(groups)}).select("block", "group", "dim", F.lit(0).alias("kind"), "id", "code", F.lit(None).cast("float").alias("scale"), "low", "step", "total", "floor")
+    c = index.withColumns({"block": every(blocks), "group": deal("rep", groups)}).select("block", "group", "dim", F.lit(1).alias("kind"), F.col("rep").alias("id"), "code", "scale", *none)
+    cell = (F.col("block") * groups + F.col("group")).alias("cell")
+    both = q.unionByName(c).select(cell, "dim", "kind", "id", "code", "scale", "low", "step", "total", "floor")
+    return both.repartitionById(blocks * groups, F.col("cell")).sortWithinPartitions("dim", "kind")
+
+
+def _pass(cells: DataFrame, k: int, eps: float, first: bool) -> DataFrame:
+    """The first pass's (query_id, rep, near), or the second's (query_id, rep)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: _Block | None = None
+        dim, open_ = None, False
+        for whole in batches:
+            key = whole.column(1).to_numpy().astype(np.int64) * 2 + whole.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                d, kind, part = int(key[a]) >> 1, int(key[a]) & 1, whole.slice(a, b - a)
+                if d != dim:
+                    if first and block is not None and not open_:
+                        yield block.ranked()
+                    dim, block, open_ = d, None, False
+                if kind == 0:
+                    if block is None:
+                        block, open_ = _Block(d, k, eps), True
+                    block.add(part)
+                elif block is not None:
+                    if open_:
+                        block.close()
+                        open_ = False
+                    if first:
+                        block.rank(part)
+                    else:
+                        yield from block.reached(part)
+        if first and block is not None and not open_:
+            yield block.ranked()
+
+    return cells.mapInArrow(run, "query_id long, rep long" + (", near float" if first else ""))
+
+
+def _scored(pairs: DataFrame, own: DataFrame, asked: DataFrame) -> DataFrame:
+    """pairs(query_id, rep) with `score`, the exact cosine of the original vectors."""
+    met = pairs.join(own.select(F.col("id").alias("rep"), F.col("v").alias("a")), "rep").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("b")), "query_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                d = batch.column(0)[r].as_py()
-                qid = batch.column(1)[r].values.to_numpy()
-                q = batch.column(2)[r].values.flatten().to_numpy().reshape(len(qid), d)
-                ids = np.frombuffer(batch.column(3)[r].as_py(), np.int64)
-                x = np.frombuffer(batch.column(4)[r].as_py(), np.float64).reshape(len(ids), d)
-                codes = np.frombuffer(batch.column(5)[r].as_py(), np.uint8).reshape(len(ids), -1)
-                scales = np.frombuffer(batch.column(6)[r].as_py(), np.float64)
-                found = best_of(q, qid, ids, x, codes, scales, k, np.full(len(q), -np.inf), seed)
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(qid[[i for i, _, _ in found]], [len(b) for _, b, _ in found])), pa.array(np.concatenate([b for _, b, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))],
-                        names=["query_id", "vec_id", "score"],
-                    )
-
-    size, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set(size, "8")  # rows of some MB each
-    hits = keep(met.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "hits")
-    spark.conf.set(size, before)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for rows, a in matrices(pa.concat_arrays([batch.column(2)])):
+                (_, b), *_ = matrices(batch.column(3).take(pa.array(rows)))
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cosines(a.astype(np.float64), b.astype(np.float64)))], names=["query_id", "rep", "score"])
+
+    return met.select("query_id", "rep", "a", "b").mapInArrow(run, "query_id long, rep long, score double")
+
+
+def search(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 7, key: str = "vec_id", vector: str = "embedding", eps: float = EPS) -> DataFrame:
+    """(query_id, rank from 1, vec_id, score): each query's k nearest rows of `vectors` by cosine, ties
+    to the smaller key; the row with the query's own key is no candidate. `index` is what
+    `build_index` made of `vectors` with the same seed; it should be a stored table, as it is read
+    several times.
+
+    Null, empty, zero and non-finite vectors and null keys take no part; vectors meet those of their own
+    dimension only. Of rows that share a key the least vector counts, on either side. Empty tables
+    give no rows. What misses a true neighbour is an error beyond eps standard deviations. Of near
+    copies whose cosines differ by less than the bound all meet the originals: a search for a
+    member of a group of m such rows takes time with m.
+    """
+    own = _unique(vectors, key, vector)
+    q = keep(_unique(queries, key, vector), "queries")
+    sizes = q.count(), index.count()
+    planes = keep(_asked(q, seed), "planes")
+    order = lambda c, *by: F.row_number().over(Window.partitionBy(c).orderBy(*by))
+    near = _pass(_cells(index, planes.withColumn("floor", F.lit(None).cast("double")), sizes), k, eps, True)
+    near = near.withColumn("r", order("query_id", F.desc("near"), "rep")).filter(F.col("r") <= k).select("query_id", "rep")
+    floors = _scored(near, own, q).groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+    planes = keep(planes.join(floors.select(F.col("query_id").alias("id"), "floor"), "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "floors")
+    found = _scored(_pass(_cells(index, planes, sizes), k, eps, False), own, q)
+    # A query's own code may come first with no other row to it, so k + 1 codes give k rows.
+    top = keep(found.withColumn("r", order("query_id", F.desc("score"), "rep")).filter(F.col("r") <= k + 1).select("query_id", "rep", "score"), "top")
+    copied = keep(index.filter("n > 1").join(top.select("rep").distinct(), "rep", "left_semi").select("h1", "h2", "rep"), "copied")
+    members = _hashes(own).select("id", "h1", "h2").join(copied, ["h1", "h2"])
+    members = members.withColumn("r", order("rep", "id")).filter(F.col("r") <= k + 1).select("rep", F.col("id").alias("member"))
+    rows = top.join(members, "rep", "left").select("query_id", F.coalesce("member", "rep").alias("vec_id"), "score").filter("vec_id <> query_id")
+    return rows.withColumn("rank", order("query_id", F.desc("score"), "vec_id")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

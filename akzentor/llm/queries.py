@@ -71,7 +71,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows of `embeddings` for each row whose vec_id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
-    return ann.search(keep(ann.build_index(vectors), "index"), vectors.filter("vec_id % 50 = 0"))
+    return ann.search(keep(ann.build_index(vectors), "index"), vectors, vectors.filter("vec_id % 50 = 0"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_embedding_near_dedup, op4_language_id, op5_html_extraction, op6_bpe_round_trip, op7_minhash_near_dedup, op8_warc, op9_token_counts, op10_nearest_neighbours)}

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 def usable(vector: str | Column) -> Column:
     """True for vectors that aren't null, empty or zero and hold only finite numbers."""
     v = F.col(vector) if isinstance(vector, str) else vector
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+    whole = ~F.array_contains(v, F.lit(float("nan")))  # null, so not true, where a component is null
+    low, high, most = F.array_min(v), F.array_max(v), F.lit(float("inf"))
+    return F.coalesce(whole & (high < most) & (low > -most) & ((low != 0) | (high != 0)), F.lit(False))
 
 
 def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -180,7 +180,7 @@ def test_search_against_all_pairs(spark):
     x, _ = vectors(3, 600)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [r[:2] for r in EDGES]
     data = spark.createDataFrame([(*r, "q", "s") for r in rows], "vec_id long, embedding array<float>, dim string, ids string")
-    got = ann.search(ann.build_index(data), data.filter("vec_id % 50 = 0")).collect()
+    got = ann.search(ann.build_index(data), data, data.filter("vec_id % 50 = 0")).collect()
     x = x.astype(float)
     hits = total = 0
     for q in range(0, 600, 50):
@@ -200,21 +200,47 @@ def test_search_against_all_pairs(spark):
 def test_search_small_and_equal(spark):
     kind = "vec_id long, embedding array<float>"
     same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(100, 120)] + [(100, [1.0, 1.0])], kind)
-    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(ann.build_index(same), same.filter("vec_id = 100")).collect())
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(ann.build_index(same), same, same.filter("vec_id = 100")).collect())
     assert got == [(100, k, 100 + k) for k in range(1, 6)]
     two = spark.createDataFrame([(50, [1.0, 0.0]), (51, [0.0, 1.0])], kind)
-    assert [(r["vec_id"], r["score"]) for r in ann.search(ann.build_index(two), two.filter("vec_id = 50")).collect()] == [(51, 0.0)]
+    assert [(r["vec_id"], r["score"]) for r in ann.search(ann.build_index(two), two, two.filter("vec_id = 50")).collect()] == [(51, 0.0)]
     none = spark.createDataFrame([], kind)
-    assert ann.search(ann.build_index(none), none).collect() == []
+    assert ann.search(ann.build_index(none), none, none).collect() == []
 
 
 def test_bounds_hold():
-    """The estimate's error stays within the bound for all but few pairs."""
+    """Popcounts give the product of the rounded query with the code's signs, and the estimate's error
+    stays within the bound as often as a normal error would."""
     rng = np.random.default_rng(4)
-    x = rng.standard_normal((2000, 64))
-    codes, scales = ann.encode(x, 7)
-    signs = np.unpackbits(codes, axis=1, count=64).astype(float) * 2 - 1
-    unit = x / np.linalg.norm(x, axis=1)[:, None]
-    near = (unit[:50] @ ann.rotation(64, 7)) @ signs.T / (8 * scales)
-    slack = ann.EPS * np.sqrt(1 / scales**2 - 1) / np.sqrt(63)
-    assert (np.abs(near - unit[:50] @ unit.T) <= slack).mean() > 0.999
+    for dim in (64, 300):
+        x = rng.standard_normal((2000, dim))
+        codes, scales = ann.encode(x, 7)
+        planes, numbers = ann.quantise(x[:50], 7)
+        near = ann.estimates(planes, numbers, codes, np.bitwise_count(codes).sum(axis=1, dtype=np.float32), scales)
+        bits = ann.length(dim)
+        signs = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little").astype(float) * 2 - 1
+        level = sum(np.unpackbits(planes[:, p].copy().view(np.uint8), axis=1, bitorder="little").astype(float) * 2**p for p in range(ann.PLANES))
+        plain = (numbers[:, :1] + numbers[:, 1:2] * level) @ signs.T / (np.sqrt(bits) * scales)
+        assert np.abs(near - plain).max() < 1e-4
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        inside = np.abs(near - unit[:50] @ unit.T) <= ann.slack(numbers[:, 1], bits, scales, ann.EPS)
+        assert inside.mean() > 0.93
+
+
+def test_search_in_many_cells(spark, monkeypatch):
+    """Blocks of queries and groups of codes, two dimensions: the same rows as in one cell."""
+    x, _ = vectors(8, 500)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v[:40].tolist()) for i, v in enumerate(x)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = data.filter("vec_id % 10 = 0")
+    index = ann.build_index(data).cache()
+    want = sorted(map(tuple, ann.search(index, data, asked, eps=8.0).collect()))
+    monkeypatch.setattr(ann, "BLOCK", 30)
+    monkeypatch.setattr(ann, "CELL_PAIRS", 4000)
+    assert sorted(map(tuple, ann.search(index, data, asked, eps=8.0).collect())) == want and len(want) == 500
+    own = dict(rows)
+    for q in (0, 490, 1000, 1490):
+        others = [i for i in own if i != q and len(own[i]) == len(own[q])]
+        score = ann.cosines(np.array([own[i] for i in others], np.float32).astype(float), np.tile(np.array(own[q], np.float32).astype(float), (len(others), 1)))
+        assert [r[2] for r in want if r[0] == q] == [others[j] for j in np.lexsort([others, -score])[:5]]
+
