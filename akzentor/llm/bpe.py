@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from akzentor.llm.common import small_batches
+from akzentor.llm.common import slices
 
 #: Characters that a stream takes at once.
 CHUNK = 1 << 16
@@ -343,14 +343,13 @@ def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     A null text counts as empty and gives no ids and an empty string. Repeated rows give a row
     each; further columns of the input are left out, so no name can clash. One pass, no shuffle.
     """
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("k", kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 ids = [np.frombuffer(c.encode(t), "<u4").astype(np.int32) for t in part.column(1).to_pylist()]

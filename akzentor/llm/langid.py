@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from akzentor.llm.common import small_batches
+from akzentor.llm.common import slices
 
 PROFILE = 400
 #: Labelled documents that profiles are learned from, about: a hash of the key picks them.
@@ -78,11 +78,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", profile: int =
     Tasks add up the counts of what they read; sums and the top of each list are Spark's.
     No rows give no profiles. What reaches the driver is `profile` codes a language.
     """
-    small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(name, []).append(ngrams(t)[:2])
@@ -133,12 +132,11 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], key: str = "doc_id"
     has no letter gets "und" and 0, as do all where no profile is known; ties go to the first
     language by name. Repeated rows give a row each; other columns aren't read. No shuffle.
     """
-    small_batches(docs.sparkSession)
     of = Profiles(profiles, profile)
     schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=schema.names)
 
@@ -148,11 +146,10 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], key: str = "doc_id"
 def keep_known(docs: DataFrame, profiles: dict[str, list[int]], least: float, text: str = "text", profile: int = PROFILE) -> DataFrame:
     """The rows of docs, with all their columns, whose language is one of the profiles' with a score
     of at least `least`; decided where they are read."""
-    small_batches(docs.sparkSession)
     of = Profiles(profiles, profile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [of(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in found], pa.bool_()))
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from akzentor.llm.common import discard, keep, small_batches
+from akzentor.llm.common import discard, keep, slices
 from akzentor.llm.components import connected_components
 
 #: 25 bands of 5 minima miss a pair of similarity 0.8 once in 20,000 times, nearer ones far less often.
@@ -126,12 +126,11 @@ SIG = [f"s{i}" for i in range(BITS * PERMUTATIONS // 64)]
 
 def sketch(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n, h1, h2, keys, s0...): set size, fingerprint of the set, band keys, packed signature."""
-    small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), *(T.StructField(s, T.LongType()) for s in SIG)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, make = _Words(), Sketcher()
-        for batch in batches:
+        for batch in slices(batches):
             size, prints, keys, sigs = [], [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingles(t, words, memo)
@@ -155,7 +154,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words, memo).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "set"])
 
     return docs.join(wanted, "id", "left_semi").mapInArrow(run, "id long, set binary")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from akzentor.llm.bpe import fast_codec
-from akzentor.llm.common import small_batches
+from akzentor.llm.common import slices
 
 OPEN_BINS = 32_768
 BUFFER = 65_536
@@ -47,12 +47,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int
     separator alone. Repeated rows give pieces each. Null keys stay null. Other columns of
     `docs` aren't read.
     """
-    small_batches(docs.sparkSession)
     last = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = fast_codec(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = c.encode(t or "") + last

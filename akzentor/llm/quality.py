@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from akzentor.llm.common import small_batches
+from akzentor.llm.common import slices
 
 #: Labelled documents and unlabelled ones that the classifiers are fitted on, about.
 FIT_ROWS, POOL_ROWS = 8_000, 6_000
@@ -139,7 +139,7 @@ def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int, pool_rows: int) -
     schema = "doc_id long, y int, text binary, meta binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts, sources, langs, sizes, y = (batch.column(i).to_pylist() for i in range(6))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([-1 if q is None else q for q in y], pa.int32()), pa.array([text_features(t or "").tobytes() for t in texts], pa.binary()), pa.array([meta_features(*m).tobytes() for m in zip(sources, langs, sizes, strict=True)], pa.binary())],
@@ -179,12 +179,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
     both classes, every other document gets 1. Repeated rows give a row each; other columns of
     docs aren't read. Scoring reads docs once, without a shuffle.
     """
-    small_batches(docs.sparkSession)
     model = _fit(docs, labels, fit_rows, pool_rows)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.DoubleType()) for c in ("p_text", "p_meta", "score")), T.StructField("keep", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found, there = _scores(batch, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found), pa.array(there & (found[2] >= threshold))], names=schema.names)
 
@@ -193,11 +192,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> DataFrame:
     """The rows of docs, with all their columns, that `classify` keeps; decided where they are read."""
-    small_batches(docs.sparkSession)
     model = _fit(docs, labels, fit_rows, pool_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found, there = _scores(batch, model)
             yield batch.filter(pa.array(there & (found[2] >= threshold)))
 

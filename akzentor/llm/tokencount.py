@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from akzentor.llm.bpe import safe_parts
-from akzentor.llm.common import small_batches
+from akzentor.llm.common import slices
 
 #: Bytes of text in one call of the library, and characters beyond which a text is split.
 BATCH_BYTES, PART_CHARS = 1 << 18, 1 << 15
@@ -63,13 +63,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     Null texts count as empty: 0 bytes and the library's count for "". Repeated rows give a row
     each; other columns aren't read, so none can clash. A pass without a shuffle.
     """
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, split = _counter(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             total = [0] * len(texts)
             cut = ((i, p) for i, t in enumerate(texts) for p in (safe_parts(t, PART_CHARS) if split else [t]))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from akzentor.llm.common import keep, small_batches, work_path
+from akzentor.llm.common import keep, slices, work_path
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,7 +81,6 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, key: str =
     those of the attempts that counted.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("hex", F.sha1(F.col("html").cast("binary")))
     first = rows.filter((F.octet_length("html") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("hex").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hex", "first")
@@ -94,7 +93,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, key: str =
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         n = 0
         out = None
-        for batch in batches:
+        for batch in slices(batches):
             for page_id, u, h, hexed, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     out = there.open_output_stream(f"{base}/{name}", compression=None, buffer_size=FLUSH)

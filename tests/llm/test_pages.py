@@ -84,7 +84,9 @@ def test_classes_are_those_of_equal_occurrence_vectors(spark):
     for i, _, h in pages:
         for t in hx.page_tokens(h):
             vector[t[0]][i] = t[3]
-    valid = {t: tuple(sorted(v.items())) for t, v in vector.items() if len(v) >= 4.5}
+    kinds = {t[0]: t[2] for _, _, h in pages for t in hx.page_tokens(h)}
+    least = lambda t: max(hx.LEAST_PAGES, 9 * hx.SUPPORT * (hx.SHARE if kinds[t] == "" else 1))
+    valid = {t: tuple(sorted(v.items())) for t, v in vector.items() if len(v) >= least(t)}
     assert {r["token"] for r in got} == set(valid)
     for a in got:
         for b in got:
@@ -166,3 +168,82 @@ def test_other_writers_archives(tmp_path):
 
 def test_write_and_read_nothing(spark):
     assert warc.write_and_read(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def words(i, n, k=0):
+    return " ".join(f"word{(i * 31 + j * 7 + k) % 97}" for j in range(n))
+
+
+def hosts_of_eight():
+    """Five hosts of eight pages each without telling names, and the main text of each page."""
+    rows, want = [], {}
+
+    def add(host, i, page, text):
+        rows.append((len(rows), f"http://{host}.example/{i}", page))
+        want[len(rows) - 1] = text
+
+    for i in range(8):
+        menu = "".join(f"<li><a href=/{x}>{x}</a>" for x in (("Home", "News", "Shop") if i % 2 else ("Start", "Blog", "Contact")))
+        p = [words(i, 20 + 3 * i, k) for k in range(2 + i % 3)]
+        body = "".join(f"<p>{x}</p>" for x in p)
+        text = "\n".join(p)
+        remarks = "".join(f"<div class=r4><span>reader {i} {j}</span><p>{words(i, 6, j + 50)}</p></div>" for j in range(i % 4))
+        # Lines of the template within an article and before it; a menu in two variants.
+        add("a", i, f"<body><div class=k1><ul>{menu}</ul></div><article>{body}<div class=q7>Follow our channel for updates</div></article></body>", text)
+        # No article: a closing line in a plain paragraph is the text's own, remarks after it aren't.
+        add("b", i, f"<body><div class=k1><ul>{menu}</ul></div><div class=za>{body}<p>Written with care.</p></div><div class=zb>{remarks}</div><div class=zc>All about us</div></body>", f"{text}\nWritten with care.")
+        # The page stands in a form; a search form doesn't matter.
+        add("c", i, f"<body><form><div class=k1>Ask here</div><div class=za>{body}</div><input value=x><button>Send</button></form></body>", text)
+        # Formulas, sections and warnings of the article.
+        add("d", i, f"<body><form>Search all<input></form><article><h1>Title {i}</h1><p>if <math><mi>x</mi><mo>=</mo><mn>{i}</mn></math> then</p><div class=warning>Take care {i}</div><section class=related-work>{body}</section></article></body>", f"Title {i}\nif x={i} then\nTake care {i}\n{text}")
+        # Copies of one article show no template.
+        add("e", i, "<body><div class=t>Title</div><div class=za><p>" + words(1, 40) + "</p></div></body>", "Title\n" + words(1, 40))
+    return rows, want
+
+
+def test_hosts_by_their_template(spark):
+    rows, want = hosts_of_eight()
+    got = {r["page_id"]: r["text"] for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, text in want.items():
+        assert got[k] == text, (rows[k], got[k])
+
+
+def plain_parts(pages):
+    """`template_parts` of one host told plainly, over whole occurrence vectors held in memory."""
+    n, vector, info = len(pages), collections.defaultdict(lambda: [0] * len(pages)), {}
+    for i, h in enumerate(pages):
+        for token, parent, kind, count, place, text, main in hx.page_tokens(h):
+            vector[token][i] = count
+            old = info.get(token, (parent, kind, 0, main))
+            info[token] = (parent, kind, old[2] + text, max(old[3], main))
+    on = {t: sum(map(bool, v)) for t, v in vector.items()}
+    elements = {t for t in vector if info[t][1] not in ("", "=") and on[t] >= max(2, n * hx.SUPPORT)}
+    same = {t: [on[c] for c in vector if info[c][1] == "" and info[c][0] == t and on[c] >= max(2, on[t] * hx.SHARE, n * hx.SUPPORT * hx.SHARE)] for t in elements}
+    cover = {t: sum(same[t]) / on[t] for t in elements}
+    most = max(info[t][2] for t in elements)
+    mains = [cover[t] for t in elements if info[t][3] > 0]
+    if cover[next(t for t in elements if info[t][1] == "body")] >= hx.COPIES or max(mains, default=0) >= hx.COPIES:
+        return None
+    once = {t for t in elements if max(vector[t]) == 1}
+    fixed = {t for t in once if (info[t][3] == 0 and cover[t] >= hx.COVER and 2 * info[t][2] <= most) or (info[t][3] < 0 and max(same[t], default=0) >= max(hx.LEAST_SAME, on[t] * hx.COVER))}
+    records = {t for t in elements - once if info[t][3] == 0 and info[t][1] in hx.RECORDS and any(info[c][0] == t and vector[c] == vector[t] for c in elements)}
+    return fixed, records, {t for t in once if info[t][3] > 0}
+
+
+def test_template_against_plain_vectors(spark):
+    rows, _ = hosts_of_eight()
+    got = {r["host"]: r for r in hx.template_parts(hx.deduce_templates(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
+    for host in "abcde":
+        want = plain_parts([h for _, u, h in rows if f"//{host}." in u])
+        if want is None:
+            assert f"{host}.example" not in got and host == "e"
+            continue
+        own = got[f"{host}.example"]
+        assert set(own["fixed"]) == want[0] and set(own["records"] or ()) == want[1] and ({own["slot"]} if own["slot"] else set()) == want[2]
+    assert got["b.example"]["records"] and got["a.example"]["fixed"]
+
+
+def test_a_very_long_page_on_a_host_with_a_template(spark):
+    rows = [(i, "http://l.example/", f"<body><div class=m>Menu</div><article><p>{words(i, 30)}</p><p>" + ("long " * 200_000 if i == 3 else "x") + "</p></article>") for i in range(5)]
+    got = {r["page_id"]: r for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3]["n_chars"] > 999_000 and got[2]["text"] == words(2, 30) + "\nx"
