@@ -16,20 +16,23 @@ the original vectors. Equal vectors share a code.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from akzentor.llm.common import keep
+from akzentor.llm.common import keep, slices
 from akzentor.llm.vectors import matrices, projections, usable
 
 #: Least bits of a code, bits of a query's component, and error bounds in standard deviations.
 BITS, PLANES, EPS = 256, 4, 1.9
-#: Most queries of a block, and pairs of a cell below which cells aren't made smaller.
-BLOCK, CELL_PAIRS = 1 << 18, 1 << 22
+#: Bytes of a block of queries, about, and pairs of a cell below which cells aren't made smaller.
+BLOCK, CELL_PAIRS = 64 << 20, 1 << 22
+#: Pairs whose ids or cosines are held at a time, and queries of a row of pairs.
+PAIRS, TOGETHER = 1 << 18, 4096
 #: Queries and codes whose estimates are held at a time.
 TILE_QUERIES, TILE_CODES = 16, 2048
 
@@ -184,43 +187,93 @@ class _Block:
             i, j = i[new], j[new]
             if not len(i):
                 continue
-            rows = np.concatenate([np.repeat(np.arange(len(best)), self.k), i])
-            values, names = np.concatenate([best.ravel(), near[i, j]]), np.concatenate([ids.ravel(), reps[j]])
-            order = np.lexsort([names, -values, rows])
-            starts = np.searchsorted(rows[order], np.arange(len(best)))
-            take = order[starts[:, None] + np.arange(self.k)]
-            self.best[some], self.near[some] = values[take], names[take]
+            self.best[some], self.near[some] = _merged(best, ids, i, near[i, j], reps[j])
 
     def ranked(self) -> pa.RecordBatch:
         i, j = np.nonzero(~np.isneginf(self.best))
         return pa.RecordBatch.from_arrays([pa.array(self.ids[i]), pa.array(self.near[i, j]), pa.array(self.best[i, j])], names=["query_id", "rep", "near"])
 
     def reached(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Pairs whose upper bound reaches the query's floor."""
+        """The queries whose floor a code's upper bound reaches, in rows (rep, queries)."""
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            q, reps = (np.concatenate(p) for p in zip(*parts, strict=True))
+            parts.clear()
+            order = np.argsort(reps, kind="stable")
+            q, reps = q[order], reps[order]
+            new = np.ones(len(reps), bool)
+            new[1:] = reps[1:] != reps[:-1]
+            start = np.maximum.accumulate(np.where(new, np.arange(len(reps)), 0))
+            cuts = np.flatnonzero((np.arange(len(reps)) - start) % TOGETHER == 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(reps)).astype(np.int32)), pa.array(q))
+            return pa.RecordBatch.from_arrays([pa.array(reps[cuts]), lists], names=["rep", "asked"])
+
         for some, reps, scales, near in self.tiles(batch):
             i, j = np.nonzero(near + slack(self.numbers[some, 1], 64 * self.words, scales, self.eps) >= self.floor[some, None])
-            yield pa.RecordBatch.from_arrays([pa.array(self.ids[some][i]), pa.array(reps[j])], names=["query_id", "rep"])
+            if len(i):
+                parts.append((self.ids[some][i], reps[j]))
+                if sum(len(p[0]) for p in parts) >= PAIRS:
+                    yield rows()
+        if parts:
+            yield rows()
+
+
+def _merged(best: np.ndarray, near: np.ndarray, i: np.ndarray, values: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """best values and their names by query, and found ones (query, value, name): the new best ones,
+    of equal values those with smaller names."""
+    k = best.shape[1]
+    rows = np.concatenate([np.repeat(np.arange(len(best)), k), i])
+    values, names = np.concatenate([best.ravel(), values]), np.concatenate([near.ravel(), names])
+    order = np.lexsort([names, -values, rows])
+    take = order[np.searchsorted(rows[order], np.arange(len(best)))[:, None] + np.arange(k)]
+    return values[take], names[take]
+
+
+@dataclass(frozen=True)
+class _Grid:
+    """Blocks of queries by groups of codes."""
+
+    blocks: int
+    groups: int
+
+    @classmethod
+    def over(cls, queries: DataFrame, index: DataFrame) -> _Grid:
+        conf = index.sparkSession.conf
+        n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+        blocks = max(1, -(-n * (8 * (dim or 0) + length(dim or 1)) // BLOCK))
+        tasks = 4 * max(int(conf.get("spark.sql.shuffle.partitions")), index.sparkSession.sparkContext.defaultParallelism)
+        return cls(blocks, max(1, min(-(-index.count() * -(-n // blocks) // CELL_PAIRS), -(-tasks // blocks))))
+
+    def block(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.blocks)).cast("int")
+
+    def group(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.groups)).cast("int")
 
+    def cell(self, block: Column, group: Column) -> Column:
+        return (block * self.groups + group).alias("cell")
 
-def _cells(index: DataFrame, asked: DataFrame, sizes: tuple[int, int]) -> DataFrame:
+    def deal(self, rows: DataFrame, *order: str) -> DataFrame:
+        return rows.repartitionById(self.blocks * self.groups, F.col("cell")).sortWithinPartitions("cell", *order)
+
+
+def _every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _cells(index: DataFrame, asked: DataFrame, grid: _Grid) -> DataFrame:
     """Queries (kind 0) and codes (kind 1) dealt into cells, each a partition: (cell, dim, kind, id, code,
-    scale, low, step, total, floor), sorted by cell, dim, kind."""
-    conf = index.sparkSession.conf
-    blocks = max(1, -(-sizes[0] // BLOCK))
-    tasks = 4 * max(int(conf.get("spark.sql.shuffle.partitions")), index.sparkSession.sparkContext.defaultParallelism)
-    groups = max(1, min(-(-sizes[1] * -(-sizes[0] // blocks) // CELL_PAIRS), -(-tasks // blocks)))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    scale, low, step, total, floor), sorted by dim and kind."""
     none = [F.lit(None).cast("double").alias(c) for c in ("low", "step", "total", "floor")]
-    q = asked.withColumns({"block": deal("id", blocks), "group": every(groups)}).select("block", "group", "dim", F.lit(0).alias("kind"), "id", "code", F.lit(None).cast("float").alias("scale"), "low", "step", "total", "floor")
-    c = index.withColumns({"block": every(blocks), "group": deal("rep", groups)}).select("block", "group", "dim", F.lit(1).alias("kind"), F.col("rep").alias("id"), "code", "scale", *none)
-    cell = (F.col("block") * groups + F.col("group")).alias("cell")
-    both = q.unionByName(c).select(cell, "dim", "kind", "id", "code", "scale", "low", "step", "total", "floor")
-    return both.repartitionById(blocks * groups, F.col("cell")).sortWithinPartitions("dim", "kind")
+    q = asked.withColumns({"block": grid.block("id"), "group": _every(grid.groups)}).select("block", "group", "dim", F.lit(0).alias("kind"), "id", "code", F.lit(None).cast("float").alias("scale"), "low", "step", "total", "floor")
+    c = index.withColumns({"block": _every(grid.blocks), "group": grid.group("rep")}).select("block", "group", "dim", F.lit(1).alias("kind"), F.col("rep").alias("id"), "code", "scale", *none)
+    both = q.unionByName(c).select(grid.cell(F.col("block"), F.col("group")), "dim", "kind", "id", "code", "scale", "low", "step", "total", "floor")
+    return grid.deal(both, "dim", "kind")
 
 
 def _pass(cells: DataFrame, k: int, eps: float, first: bool) -> DataFrame:
-    """The first pass's (query_id, rep, near), or the second's (query_id, rep)."""
+    """The first pass's (query_id, rep, near), or the second's (cell, rep, asked array)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: _Block | None = None
@@ -247,11 +300,13 @@ def _pass(cells: DataFrame, k: int, eps: float, first: bool) -> DataFrame:
                     if first:
                         block.rank(part)
                     else:
-                        yield from block.reached(part)
+                        cell = part.column(0)[0]
+                        for found in block.reached(part):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(found.num_rows, cell.as_py(), np.int32)), *found.columns], names=["cell", "rep", "asked"])
         if first and block is not None and not open_:
             yield block.ranked()
 
-    return cells.mapInArrow(run, "query_id long, rep long" + (", near float" if first else ""))
+    return cells.mapInArrow(run, "query_id long, rep long, near float" if first else "cell int, rep long, asked array<long>")
 
 
 def _scored(pairs: DataFrame, own: DataFrame, asked: DataFrame) -> DataFrame:
@@ -268,6 +323,53 @@ def _scored(pairs: DataFrame, own: DataFrame, asked: DataFrame) -> DataFrame:
     return met.select("query_id", "rep", "a", "b").mapInArrow(run, "query_id long, rep long, score double")
 
 
+def _best(reached: DataFrame, own: DataFrame, asked: DataFrame, grid: _Grid, k: int) -> DataFrame:
+    """(query_id, rep, score): of reached(cell, rep, asked) the k best of each query in each cell by exact
+    cosine, ties to the smaller rep. Queries go to all cells of their block, vectors to those reached."""
+    q = asked.withColumn("group", _every(grid.groups)).select(grid.cell(grid.block("id"), F.col("group")), F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("array<long>").alias("asked"))
+    c = reached.join(own.select(F.col("id").alias("rep"), "v"), "rep").select("cell", F.lit(1).alias("kind"), F.col("rep").alias("id"), "v", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        ids = where = best = near = None
+        matrix: dict[int, np.ndarray] = {}
+
+        def ready() -> None:
+            nonlocal ids, where, best, near
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            t = t.take(pa.array(np.argsort(t.column("id").to_numpy(), kind="stable")))
+            ids, where = t.column("id").to_numpy(), np.zeros(t.num_rows, np.int64)
+            for rows, x in matrices(pa.concat_arrays(t.column("v").chunks)):
+                where[rows], matrix[x.shape[1]] = np.arange(len(rows)), x
+            best, near = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+
+        def rank(part: pa.RecordBatch) -> None:
+            names = part.column(2).to_numpy()
+            for rows, x in matrices(pa.concat_arrays([part.column(3)])):
+                lists = part.column(4).take(pa.array(rows))
+                i, j = np.searchsorted(ids, lists.flatten().to_numpy()), np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy())
+                score = np.concatenate([cosines(x[j[a : a + 8192]].astype(np.float64), matrix[x.shape[1]][where[i[a : a + 8192]]].astype(np.float64)) for a in range(0, len(i), 8192)])
+                good = score >= best[i, -1]
+                hit, i = np.unique(i[good], return_inverse=True)
+                if len(hit):
+                    best[hit], near[hit] = _merged(best[hit], near[hit], i, score[good], names[rows][j[good]])
+
+        for batch in slices(batches, TILE_CODES):
+            split = int(np.searchsorted(batch.column(1).to_numpy(), 1))
+            if split:
+                held.append(batch.slice(0, split).select(["id", "v"]))
+            if split < batch.num_rows:
+                if held:
+                    ready()
+                rank(batch.slice(split))
+        if best is not None:
+            i, j = np.nonzero(~np.isneginf(best))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(near[i, j]), pa.array(best[i, j])], names=["query_id", "rep", "score"])
+
+    return grid.deal(q.unionByName(c), "kind").mapInArrow(run, "query_id long, rep long, score double")
+
+
 def search(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 7, key: str = "vec_id", vector: str = "embedding", eps: float = EPS) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's k nearest rows of `vectors` by cosine, ties
     to the smaller key; the row with the query's own key is no candidate. `index` is what
@@ -282,15 +384,15 @@ def search(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5,
     """
     own = _unique(vectors, key, vector)
     q = keep(_unique(queries, key, vector), "queries")
-    sizes = q.count(), index.count()
+    grid = _Grid.over(q, index)
     planes = keep(_asked(q, seed), "planes")
     order = lambda c, *by: F.row_number().over(Window.partitionBy(c).orderBy(*by))
-    near = _pass(_cells(index, planes.withColumn("floor", F.lit(None).cast("double")), sizes), k, eps, True)
+    near = _pass(_cells(index, planes.withColumn("floor", F.lit(None).cast("double")), grid), k, eps, True)
     near = near.withColumn("r", order("query_id", F.desc("near"), "rep")).filter(F.col("r") <= k).select("query_id", "rep")
     floors = _scored(near, own, q).groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
     planes = keep(planes.join(floors.select(F.col("query_id").alias("id"), "floor"), "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "floors")
-    found = _scored(_pass(_cells(index, planes, sizes), k, eps, False), own, q)
     # A query's own code may come first with no other row to it, so k + 1 codes give k rows.
+    found = _best(_pass(_cells(index, planes, grid), k, eps, False), own, q, grid, k + 1)
     top = keep(found.withColumn("r", order("query_id", F.desc("score"), "rep")).filter(F.col("r") <= k + 1).select("query_id", "rep", "score"), "top")
     copied = keep(index.filter("n > 1").join(top.select("rep").distinct(), "rep", "left_semi").select("h1", "h2", "rep"), "copied")
     members = _hashes(own).select("id", "h1", "h2").join(copied, ["h1", "h2"])

@@ -235,7 +235,7 @@ def test_search_in_many_cells(spark, monkeypatch):
     asked = data.filter("vec_id % 10 = 0")
     index = ann.build_index(data).cache()
     want = sorted(map(tuple, ann.search(index, data, asked, eps=8.0).collect()))
-    monkeypatch.setattr(ann, "BLOCK", 30)
+    monkeypatch.setattr(ann, "BLOCK", 30_000)
     monkeypatch.setattr(ann, "CELL_PAIRS", 4000)
     assert sorted(map(tuple, ann.search(index, data, asked, eps=8.0).collect())) == want and len(want) == 500
     own = dict(rows)
