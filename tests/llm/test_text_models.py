@@ -3,6 +3,8 @@ import unicodedata
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from akzentor.llm import langid, quality
 
 TEXTS = {"en": "the cat and the dog were in the house with that other thing ", "de": "der hund und die katze waren in dem haus mit einer anderen sache ", "fr": "le chat et le chien étaient dans la maison avec une autre chose "}
@@ -114,3 +116,43 @@ def test_views_teach_each_other():
     p_text, p_meta, score = model.score(text.astype(float), meta.astype(float))
     rest = np.arange(1200) >= 160
     assert ((score > 0.5) == y)[rest].mean() > 0.97 and ((p_meta > 0.5) == y)[rest].mean() > 0.8 and ((p_text > 0.5) == y)[rest].mean() > 0.97
+
+
+def test_labels_pass_both_ways_and_never_twice():
+    """Where both views carry signal, each teaches the other in every round that leaves it rows."""
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 3000)
+    text = rng.standard_normal((3000, 4)).astype(np.float32) + 1.5 * y[:, None]
+    meta = np.eye(8, dtype=np.float32)[np.where(rng.random(3000) < 0.9, y * 4, 7 - y * 4) % 8]
+    meta += rng.standard_normal(meta.shape).astype(np.float32) * 0.2
+    seen = np.where(np.arange(3000) < 200, y, -1)
+    model = quality.co_train(text, meta, seen, np.arange(3000) % 5 == 0)
+    assert len(model.passed) == quality.ROUNDS and all(n > 0 for r in model.passed for view in r for n in view)
+    for k in (0, 1):
+        assert sum(sum(r[k]) for r in model.passed) <= 2800
+        first, second = (sum(model.passed[r][k]) for r in (0, 1))
+        assert first <= 0.1 * 2800 + 1 and second <= 0.1 * (2800 - first) + 1
+
+
+def test_rounds_over_the_table_are_those_over_arrays(spark):
+    docs, labels = labelled(spark, 600)
+    labels = labels.filter("doc_id % 4 <> 2 or doc_id % 8 = 2")
+    features = quality.featured(docs, labels, 8000)
+    model = quality.fit(features)
+    rows = sorted(features.collect())
+    text = np.frombuffer(b"".join(bytes(r["text"]) for r in rows), np.float16).reshape(len(rows), -1).astype(float)
+    meta = quality.meta_rows(np.frombuffer(b"".join(bytes(r["meta"]) for r in rows), np.uint8).reshape(-1, 3))
+    import zlib
+
+    y = np.array([-1 if r["quality"] is None else r["quality"] for r in rows])
+    plain = quality.co_train(text, meta, y, np.array([zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows]))
+    assert model.passed == plain.passed and sum(map(sum, model.passed[0])) > 0
+    assert np.allclose(model.text, plain.text) and np.allclose(model.meta, plain.meta) and np.allclose(model.both, plain.both)
+
+
+def test_a_repeated_doc_id_is_learned_from_once(spark):
+    docs, labels = labelled(spark)
+    again = docs.unionByName(docs.filter("doc_id = 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("n"))
+    rows = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels).collect()}
+    more = quality.classify(again, labels).collect()
+    assert len(more) == 700 and all(abs(rows[r["doc_id"]] - r["score"]) < 0.2 for r in more)
