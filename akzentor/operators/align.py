@@ -17,12 +17,20 @@ def run_of_equals(a: Column, b: Column, limit: Column) -> Column:
 
 def join_sentences(gold: DataFrame, lib: DataFrame, keys: list[str], libs: list[str]) -> DataFrame:
     """Gold and annotator sentences side by side, either of which may lack some: gold(keys, words,
-    error), lib(lib, keys, words, error); `libs` names the annotators that are compared."""
-    g = gold.withColumn("lib", F.explode(F.array(*map(F.lit, libs)))).select("lib", *keys, F.col("words").alias("gold_words"), F.col("error").alias("gold_error"))
-    l = lib.filter(F.col("lib").isin(libs)).select("lib", *keys, F.col("words").alias("lib_words"), F.col("error").alias("lib_error"))  # noqa: E741
+    error), lib(lib, keys, words, error); `libs` names the annotators that are compared. Rows of one
+    sentence meet by one exchange on its keys, the gold once for all annotators; what is gathered
+    is a row each. Repeated rows of a sentence meet each other, as in a join."""
+    row = lambda name: F.struct(name.alias("lib"), "words", "error").alias("r")
+    rows = gold.select(*keys, row(F.lit(None).cast("string"))).unionByName(lib.filter(F.col("lib").isin(libs)).select(*keys, row(F.col("lib"))))
+    met = rows.groupBy(*keys).agg(F.collect_list("r").alias("_r"))
     none = F.array().cast(gold.schema["words"].dataType)
-    both = g.join(l, ["lib", *keys], "full_outer")
-    return both.withColumns({"gold_words": F.coalesce("gold_words", none), "lib_words": F.coalesce("lib_words", none), "gold_error": F.coalesce("gold_error", F.lit(False)), "lib_error": F.coalesce("lib_error", F.lit(False))})
+    missing = F.array(F.struct(F.lit(None).cast("string").alias("lib"), none.alias("words"), F.lit(False).alias("error")))
+    golds = F.filter("_r", lambda r: r["lib"].isNull())
+    met = met.withColumns({"_g": F.when(F.size(golds) > 0, golds).otherwise(missing), "_any": F.size(golds) > 0})
+    own = met.select("*", F.explode(F.array(*map(F.lit, libs))).alias("lib")).withColumn("_l", F.filter("_r", lambda r: r["lib"] == F.col("lib")))
+    own = own.filter(F.col("_any") | (F.size("_l") > 0)).withColumn("_l", F.explode(F.when(F.size("_l") > 0, F.col("_l")).otherwise(missing)))
+    own = own.withColumn("_g", F.explode("_g"))
+    return own.select("lib", *keys, F.col("_g.words").alias("gold_words"), F.col("_g.error").alias("gold_error"), F.col("_l.words").alias("lib_words"), F.col("_l.error").alias("lib_error"))
 
 
 def align(both: DataFrame) -> DataFrame:

@@ -22,13 +22,8 @@ def strip(text: Column) -> Column:
 
 
 def by_document(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Deal documents out by key, once; offsets and sentences of a document then stay together.
-    Joins on a document's sentences and words may then use that order too, which Spark allows
-    when not all of their keys have to be in it."""
-    conf = docs.sparkSession.conf
-    conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    # A number of partitions keeps small but costly texts from being put together in one task.
-    return docs.repartition(int(conf.get("spark.sql.shuffle.partitions")), key)
+    """Deal documents out by key, once; offsets and sentences of a document then stay together."""
+    return docs.repartition(F.col(key))
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -74,11 +69,17 @@ def words(sentences: DataFrame, keys: list[str], text: str = "text", marked: boo
     return own.withColumn("word_no", F.row_number().over(order) - 1).drop("span_no", "is_word")
 
 
-def hyphen_parts(word_rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, part_no, part, part_start): the parts of words at hyphens; empty ones count a sign."""
+def part_array(text: str = "text") -> Column:
+    """The parts of a word at hyphens, as an array of (part_no, part, part_start); empty ones count a sign."""
     parts = F.split(F.col(text), "-")
-    cut = word_rows.select(*keys, F.posexplode(F.transform(parts, lambda p, i: F.struct(p.alias("part"), (F.length(F.array_join(F.slice(parts, 1, i), "-")) + F.when(i > 0, 1).otherwise(0)).alias("part_start")))).alias("part_no", "p"))
-    return cut.select(*keys, "part_no", "p.part", "p.part_start").filter("part <> ''")
+    start = lambda i: F.length(F.array_join(F.slice(parts, 1, i), "-")) + F.when(i > 0, 1).otherwise(0)
+    rows = F.transform(parts, lambda p, i: F.struct(i.alias("part_no"), p.alias("part"), start(i).alias("part_start")))
+    return F.filter(rows, lambda r: r["part"] != "")
+
+
+def hyphen_parts(word_rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, part_no, part, part_start): the parts of words at hyphens."""
+    return word_rows.select(*keys, F.explode(part_array(text)).alias("p")).select(*keys, "p.part_no", "p.part", "p.part_start")
 
 
 def within(regions: Column | str, start: Column, end: Column) -> Column:

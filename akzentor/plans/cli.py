@@ -9,21 +9,25 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from akzentor.engine import load_engine
 from akzentor.operators import annotators
-from akzentor.operators.tokenize import lines
 from akzentor.plans import report
 from akzentor.plans.evaluate import evaluate
 from akzentor.session import ready
+from akzentor.sources import lexicons
 from akzentor.sources.config import Cache, Config, Library, file_digest, text_digest
-from akzentor.sources.text import read_text
+from akzentor.sources.scratch import shared_dir
+from akzentor.sources.text import read_lines
 
-KEYS = ["line_no"]
+KEYS = ["path", "line_no"]
+#: Libraries that are this package's own engine, without and with morphology.
+OWN = {"engine": False, "engine_morph": True}
 log = logging.getLogger("akzentor")
 
 
 def gold_sentences(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, text) of a gold file, whatever its encoding."""
-    return lines(read_text(spark, path), key="path").select("line_no", "text")
+    """(path, line_no, text) of gold files, whatever their encoding."""
+    return read_lines(spark, path)
 
 
 def run(spark: SparkSession, config: Config, gold_path: str, names: list[str], force: bool = False) -> dict[str, str]:
@@ -34,13 +38,19 @@ def run(spark: SparkSession, config: Config, gold_path: str, names: list[str], f
     chosen = config.select(names)
     gold_hash, config_hash, cache = file_digest(gold_path), config.digest(), Cache(config.cache_dir)
     gold = gold_sentences(spark, f"file://{Path(gold_path).resolve()}")
-    stored = Path(config.cache_dir).resolve()
+    # Executors write the annotators' results: on a cluster into the folder that all share.
+    local = spark.sparkContext.master.startswith("local")
+    stored = f"file://{Path(config.cache_dir).resolve()}" if local else f"{shared_dir(spark)}/akzentor-cache"
     runs: list[DataFrame] = []
     for lib in chosen:
         out = f"{stored}/{lib.name}-{gold_hash[:12]}-{config_hash[:12]}.parquet"
         if force or cache.status(lib.name, gold_hash, config_hash) != "VALID":
             log.info("annotating with %s", lib.name)
-            annotators.annotate(gold, lib.name, KEYS).write.mode("overwrite").parquet(out)
+            if lib.name in OWN and lib.name not in annotators.registered():
+                said = annotators.annotate_by_engine(load_engine(spark, config.assets_dir, OWN[lib.name]), gold, lib.name, KEYS)
+            else:
+                said = annotators.annotate(gold, lib.name, KEYS)
+            said.write.mode("overwrite").parquet(out)
             cache.put(lib.name, gold_hash, config_hash, out, text_digest(out))
         runs.append(spark.read.parquet(cache.entries[lib.name].output_file))
     if not runs:
@@ -48,7 +58,8 @@ def run(spark: SparkSession, config: Config, gold_path: str, names: list[str], f
     said = runs[0]
     for other in runs[1:]:
         said = said.unionByName(other)
-    found = evaluate(gold, said.select("lib", *KEYS, "accented_text", (F.size("errors") > 0).alias("error")), KEYS, [x.name for x in chosen])
+    dubious = lexicons.read_dubious(spark, config.dubious_file) if config.dubious_file else None
+    found = evaluate(gold, said.select("lib", *KEYS, "accented_text", (F.size("errors") > 0).alias("error")), KEYS, [x.name for x in chosen], dubious).stored()
     rows = report.report_rows(found.totals, found.common, annotators.performance(said)).cache()
     Path(config.output_dir).mkdir(parents=True, exist_ok=True)
     written = {}
@@ -113,9 +124,19 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(annotators.discover(config.adapters_dir)))
     else:
         config.output_dir, config.cache_dir, config.reports = a.output or config.output_dir, a.cache_dir or config.cache_dir, a.reports or config.reports
+        Path(config.output_dir).mkdir(parents=True, exist_ok=True)
+        written = logging.FileHandler(f"{config.output_dir}/akzentor.log", encoding="utf-8")
+        written.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(written)
+        log.setLevel(logging.INFO)
         spark = SparkSession.builder.appName("akzentor").getOrCreate()
-        for language, path in run(spark, config, a.gold, a.libs, a.force).items():
-            print(f"{language}: {path}")
+        try:
+            for language, path in run(spark, config, a.gold, a.libs, a.force).items():
+                log.info("%s: %s", language, path)
+                print(f"{language}: {path}")
+        finally:
+            log.removeHandler(written)
+            written.close()
     return 0
 
 

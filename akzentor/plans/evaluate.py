@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from akzentor.operators import metrics
 from akzentor.operators.align import align, join_sentences
-from akzentor.operators.extract import word_array
+from akzentor.operators.extract import flag_dubious, word_array
+from akzentor.sources.scratch import keep
 
 
 @dataclass
@@ -20,6 +21,10 @@ class Evaluation:
     keys: list[str]
     libs: list[str]
 
+    def stored(self) -> Evaluation:
+        """The same over a stored table of sentence counts, for when more than one result is wanted."""
+        return replace(self, sentences=keep(self.sentences, "sentences"))
+
     @property
     def totals(self) -> DataFrame:
         return metrics.library_totals(self.sentences)
@@ -37,13 +42,23 @@ class Evaluation:
         return metrics.grand_totals(self.totals)
 
 
-def aligned(gold: DataFrame, libs: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+def aligned(gold: DataFrame, libs: DataFrame, keys: list[str], names: list[str], dubious: DataFrame | None = None) -> DataFrame:
     """gold(keys, text marked), libs(lib, keys, accented_text, error): sentences side by side with
-    their words and the lengths of their equal ends."""
+    their words and the lengths of their equal ends. Gold words in the list dubious(key) have no stress."""
     g = gold.select(*keys, word_array("text").alias("words"), F.lit(False).alias("error"))
+    if dubious is not None:
+        g = _without_dubious(g, keys, dubious)
     l = libs.select("lib", *keys, word_array("accented_text").alias("words"), "error")  # noqa: E741
     return align(join_sentences(g, l, keys, names))
 
 
-def evaluate(gold: DataFrame, libs: DataFrame, keys: list[str], names: list[str]) -> Evaluation:
-    return Evaluation(metrics.sentence_metrics(aligned(gold, libs, keys, names), keys), keys, sorted(names))
+def _without_dubious(gold: DataFrame, keys: list[str], dubious: DataFrame) -> DataFrame:
+    cut = gold.select(*keys, "error", F.posexplode_outer("words").alias("_no", "_w"))
+    rows = flag_dubious(cut.select(*keys, "error", "_no", F.col("_w.text").alias("text"), F.col("_w.stress").alias("stress_char_index")), dubious)
+    word = F.when(F.col("_no").isNotNull(), F.struct("_no", F.struct("text", F.col("stress_char_index").alias("stress")).alias("w")))
+    met = rows.groupBy(*keys, "error").agg(F.array_sort(F.collect_list(word)).alias("_ws"))
+    return met.select(*keys, F.transform("_ws", lambda x: x["w"]).alias("words"), "error")
+
+
+def evaluate(gold: DataFrame, libs: DataFrame, keys: list[str], names: list[str], dubious: DataFrame | None = None) -> Evaluation:
+    return Evaluation(metrics.sentence_metrics(aligned(gold, libs, keys, names, dubious), keys), keys, sorted(names))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from akzentor.functions import marks
 from akzentor.functions.alphabet import CYRILLIC, LATIN, NOT_V, NOT_W, VOWELS, W
-from akzentor.operators import cascade, dictionary, extract, metrics, morph, oov, render, ssml, tokenize, wordpiece
+from akzentor.operators import cascade, dictionary, extract, metrics, oov, render, ssml, tokenize, wordpiece
 from akzentor.plans import derived, evaluate, report
 from akzentor.plans.derived import KEYS, LIBS
+from akzentor.sources.scratch import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -191,8 +192,8 @@ def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{BASE}, {COMMON}, totals AS (SELECT lib, {TOTAL_COLUMNS} FROM sm GROUP BY lib) SELECT t.*, common, errors AS common_errors, 0.0::DOUBLE AS load_time_seconds, 0.0::DOUBLE AS process_time_seconds FROM totals t JOIN common c ON t.lib = c.lib")
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the Markdown reports are written from."""
-    own = _evaluation(spark, sf_dir)
+    """What the Markdown reports are written from; both of its parts read the sentences' counts, stored once."""
+    own = _evaluation(spark, sf_dir).stored()
     return report.report_rows(own.totals, own.common)
 
 
@@ -205,13 +206,18 @@ def stress_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.decode(raw).select("form", F.concat_ws(",", F.col("positions").cast("array<string>")).alias("positions"))
 
 
-CASCADE = f"""known AS (SELECT w.*, replace(lower(text), 'ё', 'е') AS f, e.positions AS ps, strpos(text, 'ё') AS y1, strpos(text, 'Ё') AS y2 FROM words w LEFT JOIN entries e ON replace(lower(text), 'ё', 'е') = e.form),
-tried AS (SELECT *, CASE WHEN y1 > 0 THEN y1 - 1 WHEN y2 > 0 THEN y2 - 1 WHEN {nv('text')} = 0 THEN NULL WHEN ps IS NOT NULL THEN ps[1] END AS at1, CASE WHEN y1 + y2 > 0 THEN 'YO' WHEN {nv('text')} = 0 THEN 'NON_WORD' WHEN len(ps) = 1 THEN 'DICT_SINGLE' WHEN len(ps) > 1 THEN 'DICT_MULTI' ELSE 'UNKNOWN' END AS m1 FROM known),
-part AS (SELECT doc_id, line_no, word_no, unnest(string_split(text, '-')) AS p, unnest(range(len(string_split(text, '-')))) AS k, string_split(text, '-') AS l FROM tried WHERE contains(text, '-') AND at1 IS NULL),
+CASCADE = f"""asked AS (SELECT DISTINCT text FROM words),
+known AS (SELECT text, {nv('text')} AS n, e.positions AS ps, strpos(text, 'ё') AS y1, strpos(text, 'Ё') AS y2 FROM asked LEFT JOIN entries e ON replace(lower(text), 'ё', 'е') = e.form),
+tried AS (SELECT *, CASE WHEN y1 > 0 THEN y1 - 1 WHEN y2 > 0 THEN y2 - 1 WHEN n = 0 THEN NULL WHEN ps IS NOT NULL THEN ps[1] END AS at1, CASE WHEN y1 + y2 > 0 THEN 'YO' WHEN n = 0 THEN 'NON_WORD' WHEN len(ps) = 1 THEN 'DICT_SINGLE' WHEN len(ps) > 1 THEN 'DICT_MULTI' ELSE 'UNKNOWN' END AS m1 FROM known),
+part AS (SELECT text, unnest(string_split(text, '-')) AS p, unnest(range(len(string_split(text, '-')))) AS k, string_split(text, '-') AS l FROM tried WHERE contains(text, '-') AND at1 IS NULL),
 placed AS (SELECT *, k + CASE WHEN k = 0 THEN 0 ELSE list_sum(list_transform(l[1:k], lambda x: len(x))) END AS o FROM part),
 hit AS (SELECT p.*, CASE WHEN strpos(p, 'ё') > 0 THEN strpos(p, 'ё') - 1 WHEN strpos(p, 'Ё') > 0 THEN strpos(p, 'Ё') - 1 ELSE e.positions[1] END + o AS place, CASE WHEN regexp_matches(p, '[ёЁ]') THEN 'YO' WHEN len(e.positions) = 1 THEN 'DICT_SINGLE' ELSE 'DICT_MULTI' END AS m FROM placed p LEFT JOIN entries e ON replace(lower(p), 'ё', 'е') = e.form WHERE regexp_matches(p, '[ёЁ]') OR (e.form IS NOT NULL AND {nv('p')} > 0)),
-first_hit AS (SELECT doc_id, line_no, word_no, min(place) AS at2, arg_min(m, place) AS m2, count(*) - 1 AS more FROM hit GROUP BY ALL),
-done AS (SELECT t.*, coalesce(at1, at2) AS at3, coalesce(m2, m1) AS m3, coalesce(more, 0) AS subs FROM tried t LEFT JOIN first_hit h ON t.doc_id = h.doc_id AND t.line_no = h.line_no AND t.word_no = h.word_no)"""
+first_hit AS (SELECT text, min(place) AS at2, arg_min(m, place) AS m2, count(*) - 1 AS more FROM hit GROUP BY text),"""
+#: Parts that nothing resolves go to the heuristic one by one; a word without hyphens as a whole.
+FIRST_VOWELS = f"""guess AS (SELECT text, o + {vowel_at('w', '0')} - 1 AS g FROM (SELECT text, o, p AS w FROM placed) WHERE {nv('w')} > 0),
+whole AS (SELECT text, {vowel_at('text', '0')} - 1 AS g FROM tried WHERE NOT contains(text, '-') AND n > 0 AND at1 IS NULL),"""
+DONE = """late AS (SELECT text, min(g) AS at4, count(*) - 1 AS more4 FROM (SELECT * FROM guess UNION ALL SELECT * FROM whole) GROUP BY text),
+done AS (SELECT t.text, CAST(coalesce(at1, at2, at4) AS INTEGER) AS at3, CASE WHEN at1 IS NOT NULL THEN m1 WHEN at2 IS NOT NULL THEN m2 WHEN at4 IS NOT NULL THEN 'HEURISTIC' ELSE m1 END AS m, CAST(CASE WHEN at1 IS NOT NULL THEN 0 WHEN at2 IS NOT NULL THEN more WHEN at4 IS NOT NULL THEN more4 ELSE 0 END AS INTEGER) AS n_sub FROM tried t LEFT JOIN first_hit h ON t.text = h.text LEFT JOIN late ON t.text = late.text)"""
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +225,7 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.resolve(own, derived.dictionary(spark, sf_dir), [*KEYS, "word_no"], late_parts=True)
 
 
-@query(f"WITH {SENT}, {DICT}, {WORDS}, {CASCADE} SELECT doc_id, line_no, word_no, text, CAST(CASE WHEN at3 IS NOT NULL THEN at3 WHEN {nv('text')} > 0 THEN {vowel_at('text', '0')} - 1 END AS INTEGER) AS stress_char_index, CASE WHEN at3 IS NOT NULL OR {nv('text')} = 0 THEN m3 ELSE 'HEURISTIC' END AS method, CAST(subs AS INTEGER) AS n_sub FROM done")
+@query(f"WITH {SENT}, {DICT}, {WORDS}, {CASCADE} {FIRST_VOWELS} {DONE} SELECT doc_id, line_no, word_no, w.text, at3 AS stress_char_index, m AS method, n_sub FROM words w JOIN done d ON w.text = d.text")
 def resolver_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of `documents` stressed by rules, dictionary and first vowel."""
     return _resolved(spark, sf_dir).select(*KEYS, "word_no", "text", "stress_char_index", "method", F.size("sub_stresses").alias("n_sub"))
@@ -233,7 +239,7 @@ def scorer_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LCP = "len(list_filter(range(1, least(len({a}), len({b})) + 1), lambda i: left({a}, i) = left({b}, i)))"
 OOV = f"""vocab AS (SELECT form, array_to_string(positions, ',') AS ps, row_number() OVER (ORDER BY form) AS r FROM entries),
-q AS (SELECT DISTINCT replace(lower(text), 'ё', 'е') AS q FROM words WHERE NOT contains(text, '-') AND replace(lower(text), 'ё', 'е') NOT IN (SELECT form FROM entries)),
+q AS (SELECT DISTINCT replace(lower(x), 'ё', 'е') AS q FROM (SELECT unnest(string_split(text, '-')) AS x FROM (SELECT DISTINCT text FROM words)) WHERE x <> '' AND replace(lower(x), 'ё', 'е') NOT IN (SELECT form FROM entries)),
 rank AS (SELECT q, count(form) AS p FROM q LEFT JOIN vocab ON form < q GROUP BY q),
 base AS (SELECT q, form, ps, {LCP.format(a='q', b='form')} AS n FROM rank JOIN vocab ON r BETWEEN p AND p + 2),
 most AS (SELECT q, max(n) AS most FROM base GROUP BY q HAVING max(n) >= 3),
@@ -245,38 +251,21 @@ good AS (SELECT q, max(struct_pack(n := n, form := form, ps := ps)) AS best FROM
 
 @query(f"WITH {SENT}, {DICT}, {WORDS}, {OOV} SELECT q.q AS query, CASE WHEN best IS NOT NULL AND CAST(string_split(best.ps, ',')[-1] AS INTEGER) < best.n THEN CAST(string_split(best.ps, ',')[-1] AS INTEGER) ELSE -1 END AS position FROM q LEFT JOIN good ON q.q = good.q")
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stress of all words outside of the dictionary by their neighbours in it."""
-    known = derived.dictionary(spark, sf_dir)
-    found = dictionary.look_up(tokenize.words(derived.sentences(spark, sf_dir), KEYS), known).filter("positions is null")
-    asked = found.filter(~F.contains("text", F.lit("-"))).select(marks.fold("text").alias("query")).distinct()
-    ends = known.select(F.explode(F.array(F.lit(""), F.expr("right(form, 1)"), F.expr("if(length(form) >= 2, right(form, 2), '')"))).alias("x")).distinct()
+    """Stress of all words, and parts of words at hyphens, outside of the dictionary by their neighbours in it."""
+    known, forms, tails = _unknown(spark, sf_dir)
+    own = tokenize.words(derived.sentences(spark, sf_dir), KEYS).select("text").distinct()
+    asked = own.select(F.explode(F.transform(tokenize.part_array("text"), lambda p: p["part"])).alias("part")).select(marks.fold("part").alias("query")).distinct()
+    asked = keep(asked.join(known.select(F.col("form").alias("query")), "query", "left_anti"), "asked")
+    return oov.predict(asked, forms, tails)
+
+
+def _unknown(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The dictionary, its forms with places as text, and pairs of its forms' ends of a length, stored: they
+    are read several times."""
+    known = keep(derived.dictionary(spark, sf_dir), "dictionary")
+    ends = keep(known.select(F.explode(F.array(F.lit(""), F.expr("right(form, 1)"), F.expr("if(length(form) >= 2, right(form, 2), '')"))).alias("x")).distinct(), "ends")
     tails = ends.select(F.col("x").alias("word_suffix"), F.length("x").alias("n")).join(ends.select(F.col("x").alias("norm_suffix"), F.length("x").alias("n")), "n")
-    return oov.predict(asked, known.select("form", F.concat_ws(",", F.col("positions").cast("array<string>")).alias("positions")), tails)
-
-
-#: A tagged sentence and dictionary records: (token, text, pos, feature, value), (form, pos, tags, stressed form).
-TOKENS = [
-    (0, "Замок", "NOUN", "Case", "Nom"), (1, "стоит", "VERB", "Tense", "Pres"), (2, "дома", "NOUN", "Number", "Plur"), (3, "дома", "NOUN", "Number", "Sing"),
-    (4, ",", "PUNCT", "", ""), (5, "лесу", "NOUN", "Case", "Loc"), (6, "мука", "NOUN", "Gender", "Fem"), (7, "белка", "NOUN", "Animacy", "Anim"),
-]
-RECORDS = [
-    ("замок", "noun", "nominative singular", "за́мок"), ("замок", "noun", "nominative singular inanimate", "замо́к"), ("замок", "verb", "past", "замо́к"),
-    ("дома", "noun", "nominative plural", "дома́"), ("дома", "noun", "genitive singular", "до́ма"), ("лесу", "noun", "dative singular", "ле́су"),
-    ("лесу", "noun", "locative singular", "лесу́"), ("мука", "noun", "feminine nominative", "му́ка"), ("мука", "noun", "feminine accusative", "му́ка"),
-    ("белка", "noun", "inanimate", "белка́"), ("стоит", "verb", "present third-person", "стои́т"), ("стоит", "verb", "past", "сто́ит"),
-]
-MORPH_SQL = "SELECT * FROM (VALUES (0, '2', 'за́мок|замо́к', NULL), (1, '1', 'стои́т', 3), (2, '1', 'дома́', 3), (3, '1', 'до́ма', 1), (4, '0', '', NULL), (5, '1', 'лесу́', 3), (6, '1', 'му́ка', 1), (7, '0', '', NULL)) v(token, n_options, options, position)"
-
-
-@query(MORPH_SQL.replace("SELECT *", "SELECT token, CAST(n_options AS INTEGER) AS n_options, options, CAST(position AS INTEGER) AS position"))
-def morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Options that agree with a tagged sentence, and the place of the single ones."""
-    tokens = spark.createDataFrame(TOKENS, "token int, text string, pos string, k string, v string").select("token", "text", "pos", F.create_map("k", "v").alias("feats"))
-    records = spark.createDataFrame([(f, i, p, t.split(), s) for i, (f, p, t, s) in enumerate(RECORDS)], "form string, ordinal int, pos string, morph_tags array<string>, stressed_form string")
-    found = morph.stress_options(tokens, records, ["token"])
-    words = tokens.select("token", "text", F.lit(None).cast("int").alias("stress_char_index"), F.lit(None).cast("int").alias("stress_vowel_index"), F.lit("UNKNOWN").alias("method"))
-    done = morph.refine(words, found.select("token", "options"), ["token"])
-    return done.join(found.select("token", "options"), "token").select("token", F.size("options").alias("n_options"), F.array_join("options", "|").alias("options"), F.col("stress_char_index").alias("position"))
+    return known, known.select("form", F.concat_ws(",", F.col("positions").cast("array<string>")).alias("positions")), tails
 
 
 @query(f"WITH {SENT}, {MARKED} SELECT doc_id, line_no, {MARKS_ONLY} AS text FROM gold")

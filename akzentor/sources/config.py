@@ -25,6 +25,7 @@ class Config:
     cache_dir: str = ".cache"
     adapters_dir: str = "adapters"
     dubious_file: str | None = None
+    assets_dir: str = "assets"
     reports: list[str] = field(default_factory=lambda: ["ru", "en"])
 
     @classmethod
@@ -84,7 +85,8 @@ class Cache:
             return "STALE (gold)"
         if e.config_hash != config:
             return "STALE (config)"
-        return "VALID" if Path(e.output_file).exists() else "MISSING FILE"
+        there, _, path = e.output_file.rpartition("://")  # other file systems are looked at when they are read
+        return "VALID" if there not in ("", "file") or Path(path).exists() else "MISSING FILE"
 
     def put(self, name: str, gold: str, config: str, output: str, result: str) -> None:
         self.entries[name] = Entry(name, gold, config, datetime.now().isoformat(), output, result)

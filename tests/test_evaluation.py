@@ -152,3 +152,27 @@ def test_morphology_compatible(spark):
     assert all(r["ok"] == r["got"] for r in own.withColumn("got", morph.compatible("a", "b")).collect())
     tags = spark.range(1).select(morph.tags_of(F.create_map(F.lit("Case"), F.lit("Loc"), F.lit("Foo"), F.lit("x"))).alias("t")).first()["t"]
     assert tags == ["prepositional", "locative"]
+
+
+def test_options_that_agree_with_tags(spark):
+    """Part of speech and categories decide; equal forms are one option; one option gives the stress."""
+    from akzentor.operators import morph
+
+    tokens = [
+        (0, "Замок", "NOUN", "Case", "Nom"), (1, "стоит", "VERB", "Tense", "Pres"), (2, "дома", "NOUN", "Number", "Plur"), (3, "дома", "NOUN", "Number", "Sing"),
+        (4, ",", "PUNCT", "", ""), (5, "лесу", "NOUN", "Case", "Loc"), (6, "мука", "NOUN", "Gender", "Fem"), (7, "белка", "NOUN", "Animacy", "Anim"),
+    ]
+    records = [
+        ("замок", "noun", "nominative singular", "за́мок"), ("замок", "noun", "nominative singular inanimate", "замо́к"), ("замок", "verb", "past", "замо́к"),
+        ("дома", "noun", "nominative plural", "дома́"), ("дома", "noun", "genitive singular", "до́ма"), ("лесу", "noun", "dative singular", "ле́су"),
+        ("лесу", "noun", "locative singular", "лесу́"), ("мука", "noun", "feminine nominative", "му́ка"), ("мука", "noun", "feminine accusative", "му́ка"),
+        ("белка", "noun", "inanimate", "белка́"), ("стоит", "verb", "present third-person", "стои́т"), ("стоит", "verb", "past", "сто́ит"),
+    ]
+    asked = spark.createDataFrame(tokens, "token int, text string, pos string, k string, v string").selectExpr("token", "text", "pos", "map(k, v) AS feats")
+    known = spark.createDataFrame([(f, i, p, t.split(), s) for i, (f, p, t, s) in enumerate(records)], "form string, ordinal int, pos string, morph_tags array<string>, stressed_form string")
+    found = morph.stress_options(asked, known, ["token"])
+    words = asked.selectExpr("token", "text", "CAST(NULL AS INT) AS stress_char_index", "CAST(NULL AS INT) AS stress_vowel_index", "'UNKNOWN' AS method")
+    place = {r["token"]: r["stress_char_index"] for r in morph.refine(words, found.select("token", "options"), ["token"]).collect()}
+    options = {r["token"]: r["options"] for r in found.collect()}
+    assert options == {0: ["за́мок", "замо́к"], 1: ["стои́т"], 2: ["дома́"], 3: ["до́ма"], 4: [], 5: ["лесу́"], 6: ["му́ка"], 7: []}
+    assert place == {0: None, 1: 3, 2: 3, 3: 1, 4: None, 5: 3, 6: 1, 7: None}

@@ -13,7 +13,7 @@ from akzentor.engine import StressEngine, load_engine
 from akzentor.operators import annotators, scorers
 from akzentor.operators.cascade import ModelLoadError
 from akzentor.plans import cli
-from akzentor.plans.queries import ORACLE_SQL, QUERIES
+from akzentor.plans.queries_engine import ORACLE_SQL, QUERIES
 from akzentor.sources import config, lexicons, results, text
 from akzentor.streaming.annotate import annotate_lines
 
@@ -160,6 +160,67 @@ def test_scorers(spark):
     assert [r["query"] for r in scorers.score_unknown(words, scorers.StubScorer(1)).collect()] == ["аб"]
 
 
+def test_engine_with_scorers(spark, tmp_path):
+    """Homographs go to the scorer if it is there, words without neighbours to the one by sign."""
+    assets(spark, tmp_path)
+    words = {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[BOS]", "[EOS]", "за", "##мок", "и", "."])}
+    plain = load_engine(spark, str(tmp_path))
+    engine = StressEngine(spark, plain.dictionary, plain.forms, plain.tails, scorer=scorers.StubScorer(), vocabulary=words, signs=scorers.StubScorer(1))
+    docs = spark.createDataFrame([(1, "Замок и замок. Мрык! Мама.")], "doc_id long, text string")
+    rows = [(r["text"], r["stress_char_index"], r["method"]) for r in engine.spans(docs).filter("is_word").orderBy("start").collect()]
+    logits = lambda i, c: (i * 31 + c * 17) % 23
+    best = {k: logits(i, 1) - max(logits(i, c) for c in range(10)) for k, i in ((1, 4), (3, 5))}
+    assert [r[2] for r in rows[::2][:1]] == ["BERT"] and rows[0][1] == max(best, key=best.get) and rows[2] == ("замок", rows[0][1], "BERT")
+    assert rows[3][2] in ("HEURISTIC", "UNKNOWN") and rows[4] == ("Мама", 1, "DICT_SINGLE")
+    assert {r[2] for r in [(r["text"], 0, r["method"]) for r in plain.spans(docs).filter("is_word").collect()] if r[0] == "замок"} == {"DICT_MULTI"}
+    body = json.loads(engine.accentuate(docs, "json").first()["json"])
+    assert body["text"] == "Замок и замок. Мрык! Мама." and [len(s["words"]) for s in body["sentences"]] == [3, 1, 1] and body["sentences"][0]["spans"][1] == {"text": " ", "start": 5, "end": 6, "is_word": False, "is_preserved": False}
+    assert body["sentences"][2]["words"][0] == {"text": "Мама", "start": 21, "end": 25, "length": 4, "stress_vowel_index": 0, "stress_char_index": 1, "sub_stresses": [], "method": "DICT_SINGLE", "is_russian_word": True}
+
+
+def test_engine_as_an_annotator(spark, tmp_path):
+    assets(spark, tmp_path)
+    rows = spark.createDataFrame([("a", 0, "м+ама"), ("a", 1, "замок!")], "path string, line_no int, text string")
+    got = annotators.annotate_by_engine(load_engine(spark, str(tmp_path), False), rows, "engine", ["path", "line_no"]).collect()
+    assert {(r["line_no"], r["original_text"], r["accented_text"], r["lib"], len(r["errors"])) for r in got} == {(0, "мама", "м+ама", "engine", 0), (1, "замок!", "з+амок!", "engine", 0)}
+
+
+def test_lines_of_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("  один\r\n\n два \x0bтри\n".encode())
+    (tmp_path / "b.txt").write_bytes("четыре\n\nпять".encode("cp1251"))
+    got = {(Path(r["path"]).name, r["line_no"], r["text"]) for r in text.read_lines(spark, f"{tmp_path}/*.txt").collect()}
+    assert got == {("a.txt", 0, "один"), ("a.txt", 1, "два"), ("a.txt", 2, "три"), ("b.txt", 0, "четыре"), ("b.txt", 1, "пять")}
+
+
+def test_dubious_words_of_the_gold_do_not_count(spark):
+    from akzentor.plans.evaluate import evaluate
+
+    gold = spark.createDataFrame([(0, "М+ама м+ыла р+аму."), (1, "")], "s int, text string")
+    said = spark.createDataFrame([("a", 0, "Мам+а м+ыла р+аму.", False), ("a", 1, "", False)], "lib string, s int, accented_text string, error boolean")
+    dubious = spark.createDataFrame([("мама",)], "key string")
+    rows = {d: evaluate(gold, said, ["s"], ["a"], t).totals.first() for d, t in (("with", dubious), ("without", None))}
+    assert (rows["without"]["stress_errors"], rows["without"]["gold_words_with_stress"]) == (1, 2) or rows["without"]["stress_errors"] == 1
+    assert rows["with"]["stress_errors"] == 0 and rows["with"]["gold_words_with_stress"] == rows["without"]["gold_words_with_stress"] - 1 and rows["with"]["sentences"] == 2
+
+
+def test_session_settings_are_left_alone(spark):
+    names = ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    for name in ("resolver_cascade", "library_totals"):
+        QUERIES[name](spark, str(DATA))
+    assert [spark.conf.get(n) for n in names] == before and before[0] == "true"
+
+
+def test_the_package_can_be_shipped():
+    import io
+    import zipfile
+
+    from akzentor import session
+
+    names = zipfile.ZipFile(io.BytesIO(session._packed())).namelist()
+    assert "akzentor/engine.py" in names and "akzentor/operators/cascade.py" in names
+
+
 def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     docs = spark.createDataFrame([(1, "мама ёж\nкот"), (2, "да")], "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/in")
