@@ -340,8 +340,8 @@ def codec(path: str) -> Codec:
 def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every whole text and decode the ids again: (key, ids array<int>, decoded string).
 
-    A null text counts as empty and gives no ids and an empty string. Repeated rows give a row
-    each; further columns of the input are left out, so no name can clash. One pass, no shuffle.
+    A null text counts as empty and gives no ids and an empty string; an empty table gives none.
+    Repeated rows give a row each; further columns of the input are left out, so no name can clash. One pass, no shuffle.
     """
     source = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = docs.schema[key].dataType
@@ -365,7 +365,7 @@ def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
 
 
 #: A place where no token of the byte-level pre-tokeniser can span, in the text whole or cut: before
-#: a single space between other signs. (No added token may hold a space; `splittable` checks.)
+#: a single space between other signs. (No added token may hold a space.)
 _SAFE = regex.compile(r"(?<=\S)(?= [^\s])")
 
 

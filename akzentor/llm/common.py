@@ -2,59 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that a Python function works on at a time; texts are long, so these are few.
-BATCH_ROWS = 512
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="akzentor-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
-def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; it is deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/akzentor-{label}-{uuid.uuid4().hex}"
-    atexit.register(_discard, spark, path)
-    return path
+from akzentor.sources.scratch import discard, keep, shared_dir, work_path
 
+__all__ = ["BATCH_ROWS", "columns", "discard", "keep", "one_batch", "shared_dir", "slices", "table", "work_path"]
 
-def _discard(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone by now; the folder is scratch space
-        return
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a working table made by `keep` that nothing will read again."""
-    if path := getattr(df, "_akzentor_path", None):
-        _discard(df.sparkSession, path)
-
-
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write a working table to the shared folder and read it back: lineage ends here and
-    survives the loss of executors."""
-    spark = df.sparkSession
-    path = work_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._akzentor_path = path
-    return back
+#: Rows that a Python function works on at a time; texts are long, so these are few.
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

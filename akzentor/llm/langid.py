@@ -130,7 +130,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], key: str = "doc_id"
 
     `score` is 1 less the least distance over the greatest possible one. A text that is null or
     has no letter gets "und" and 0, as do all where no profile is known; ties go to the first
-    language by name. Repeated rows give a row each; other columns aren't read. No shuffle.
+    language by name. Repeated rows give a row each; an empty table gives none; other columns aren't read. No shuffle.
     """
     of = Profiles(profiles, profile)
     schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -145,7 +145,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], key: str = "doc_id"
 
 def keep_known(docs: DataFrame, profiles: dict[str, list[int]], least: float, text: str = "text", profile: int = PROFILE) -> DataFrame:
     """The rows of docs, with all their columns, whose language is one of the profiles' with a score
-    of at least `least`; decided where they are read."""
+    of at least `least`; decided where they are read. Null texts go, and repeated rows stay or go alike."""
     of = Profiles(profiles, profile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     shingles; `component_id` is the smallest key reachable by links, the row's own included, and
     `kept` is true where it is the own one. Null texts and texts without a word have no
     shingles and no links. Rows that share a key are one document with the links of all. Null keys
-    have no links and a null component. Other columns aren't read.
+    have no links and a null component. An empty table gives none. Other columns aren't read.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))

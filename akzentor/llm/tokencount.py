@@ -60,8 +60,8 @@ def batches_of(parts: Iterator[tuple[int, str]], size: int = BATCH_BYTES) -> Ite
 def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_tokens) of every whole text, as the library for the file counts them.
 
-    Null texts count as empty: 0 bytes and the library's count for "". Repeated rows give a row
-    each; other columns aren't read, so none can clash. A pass without a shuffle.
+    Null texts count as empty: 0 bytes and the library's count for "". An empty table gives none.
+    Repeated rows give a row each; other columns aren't read, so none can clash. A pass without a shuffle.
     """
     source = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])

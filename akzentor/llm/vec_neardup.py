@@ -294,7 +294,8 @@ def near_duplicates(
     Rows with a null label, and vectors that are null, empty, zero or hold nulls or non-finite
     numbers, have no links and are their own component; so do rows of unlike dimensions between
     each other. Repeated rows are vectors of their own. `kept` is true for the row whose key
-    is its component's smallest. Null keys get null components. Other columns aren't read.
+    is its component's smallest. Null keys get null components. An empty table gives none. Other
+    columns aren't read.
     """
     base = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("v"))
     base = base.withColumn("ok", usable("v") & F.col("label").isNotNull() & F.col("id").isNotNull())

@@ -2,8 +2,10 @@
 
 The data source plans a partition per archive file, takes over filters on record type and other
 headers, and parses headers before anything else: a record that the filters rule out, or whose
-payload isn't asked for, is skipped without being decoded. Files are reached through pyarrow's
-file systems, by URI.
+payload isn't asked for, is skipped without being decoded. Archives are gzipped by record; the writer
+puts a record's length, packed and unpacked, into an extra field of its gzip header, so that the
+reader goes on to the next one without inflating the rest. In archives without that field, what is
+skipped is inflated and dropped. Files are reached through pyarrow's file systems, by URI.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from akzentor.llm.common import keep, slices, work_path
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Extra field of a gzip header with the member's length, packed and unpacked.
+SKIP = b"SL"
+#: Bytes that are inflated of a record before its headers have been looked at.
+PEEK = 1024
 #: Bytes of records after which a writer's gzip buffer goes to the file.
 FLUSH = 1 << 20
 
@@ -52,9 +58,9 @@ def _clean(value: str) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None, refers_to_url: str | None = None) -> bytes:
     """One record: a response with its payload, or a revisit with the HTTP headers alone, whose
-    Content-Length still tells the full payload's size."""
+    Content-Length still tells the full payload's size; it names the record that it revisits."""
     url = _clean(url or "")
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -66,7 +72,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     if page_id is not None:
         heads.append(("Page-ID", str(page_id)))
     if revisit:
-        heads += [("WARC-Profile", PROFILE), ("Refers-To-Page-ID", str(refers_to))]
+        first = _clean(refers_to_url or "")
+        heads += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest, first)), ("WARC-Refers-To-Target-URI", first), ("WARC-Refers-To-Date", "2000-01-01T00:00:00Z"), ("Refers-To-Page-ID", str(refers_to))]
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in heads).encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -74,8 +81,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, key: str =
     """Write a record per row into gzipped archives below `path`; returns (file, records), already
     written. Of payloads of at least `least_bytes` that are equal, the record with the smallest
     key is a response and the others revisit it; smaller payloads are all responses. Rows that
-    share that key and payload are all responses. Null html is an empty payload; null keys are
-    responses without a page id. Other columns aren't read.
+    share that key and payload are all responses; revisits name the one with the least url. Null html is
+    an empty payload; null keys are responses without a page id. An empty table gives no files. Other columns aren't read.
 
     A file is written under a name of its own for each attempt of a task; the returned table names
     those of the attempts that counted.
@@ -83,7 +90,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, key: str =
     spark = pages.sparkSession
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("hex", F.sha1(F.col("html").cast("binary")))
-    first = rows.filter((F.octet_length("html") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("hex").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hex", "first")
+    first = rows.filter((F.octet_length("html") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("hex").agg(F.min(F.struct("page_id", F.coalesce("url", F.lit("")).alias("url"))).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hex", F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url"))
     marked = rows.join(keep(first, "copied"), "hex", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,50 +101,91 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, key: str =
         n = 0
         out = None
         for batch in slices(batches):
-            for page_id, u, h, hexed, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, u, h, hexed, refers, there_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     out = there.open_output_stream(f"{base}/{name}", compression=None, buffer_size=FLUSH)
                 digest = base64.b32encode(bytes.fromhex(hexed)).decode()
-                out.write(member(record(page_id, u, h.encode("utf-8", "surrogatepass"), digest, refers)))
+                out.write(member(record(page_id, u, h.encode("utf-8", "surrogatepass"), digest, refers, there_url)))
                 n += 1
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "records"])
 
-    return keep(marked.select("page_id", "url", "html", "hex", "refers_to").mapInArrow(run, "file string, records long"), "archives")
+    return keep(marked.select("page_id", "url", "html", "hex", "refers_to", "first_url").mapInArrow(run, "file string, records long"), "archives")
 
 
 def member(data: bytes) -> bytes:
-    """A gzip member of one record, so that records can be found and read one by one."""
-    z = zlib.compressobj(4, zlib.DEFLATED, 31)
-    return z.compress(data) + z.flush()
+    """A gzip member of one record, so that records can be found and read one by one; its header tells
+    its length, packed and unpacked, where four bytes hold them."""
+    z = zlib.compressobj(4, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    size = 10 + 2 + 12 + len(body) + 8
+    tail = zlib.crc32(data).to_bytes(4, "little") + (len(data) & 0xFFFFFFFF).to_bytes(4, "little")
+    if max(size, len(data)) >> 32:
+        return b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff" + body + tail
+    extra = SKIP + (8).to_bytes(2, "little") + size.to_bytes(4, "little") + len(data).to_bytes(4, "little")
+    return b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + len(extra).to_bytes(2, "little") + extra + body + tail
 
 
 class _Stream:
     """The bytes of an archive, gzipped by record or as a whole, or plain; read or skipped."""
 
     def __init__(self, raw: Any, size: int = 1 << 18) -> None:
-        self.raw, self.size, self.held, self.spare, self.z, self.ended = raw, size, bytearray(), b"", None, False
-        head = raw.read(2)
-        self.spare = head
-        self.zipped = head == b"\x1f\x8b"
+        self.raw, self.size, self.held, self.z = raw, size, bytearray(), None
+        self.spare = raw.read(2)
+        self.zipped = self.spare == b"\x1f\x8b"
+        #: Members begun, bytes inflated, and of the member at hand what its header tells: packed bytes left, unpacked length.
+        self.members, self.inflated, self.left, self.whole = 0, 0, None, None
+
+    def _begin(self) -> None:
+        """Look at the header of a member, which starts at what is spare."""
+        def need(n: int) -> bool:
+            while len(self.spare) < n and (data := self.raw.read(self.size)):
+                self.spare += data
+            return len(self.spare) >= n
+
+        self.members, self.left, self.whole, self.z = self.members + 1, None, None, zlib.decompressobj(31)
+        if need(12) and self.spare[3] & 4 and need(12 + (n := int.from_bytes(self.spare[10:12], "little"))):
+            at = 12
+            while at + 4 <= 12 + n:
+                size = int.from_bytes(self.spare[at + 2 : at + 4], "little")
+                if self.spare[at : at + 2] == SKIP and size == 8:
+                    self.left, self.whole = (int.from_bytes(self.spare[at + k : at + k + 4], "little") for k in (4, 8))
+                at += 4 + size
 
     def _more(self) -> bool:
-        data = self.spare or self.raw.read(self.size)
-        self.spare = b""
-        if not data:
-            return False
+        if not self.spare:
+            self.spare = self.raw.read(self.size)
+            if not self.spare:
+                return False
         if not self.zipped:
-            self.held += data
+            self.held += self.spare
+            self.spare = b""
             return True
-        if self.z is None:
-            self.z = zlib.decompressobj(31)
-        self.held += self.z.decompress(data, self.size)
-        self.spare = self.z.unconsumed_tail
+        begun = self.z is None
+        if begun:
+            self._begin()
+        before = len(self.spare)
+        out = self.z.decompress(self.spare, PEEK if begun else self.size)
+        self.held += out
+        self.inflated += len(out)
+        self.spare = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+        if self.left is not None:
+            self.left -= before - len(self.spare)
         if self.z.eof:
-            self.spare, self.z = self.z.unused_data, None
+            self.z = None
         return True
 
+    def leave(self) -> None:
+        """Go on to the next member, whatever is left of this one; its packed length must be known."""
+        self.held.clear()
+        self.z = None
+        if self.left <= len(self.spare):
+            self.spare = self.spare[self.left :]
+        else:
+            self.raw.seek(self.left - len(self.spare), 1)
+            self.spare = b""
+
     def until(self, mark: bytes) -> bytes | None:
         at = 0
         while (i := self.held.find(mark, at)) < 0:
@@ -185,12 +233,21 @@ def _heads(block: bytes) -> dict[str, str]:
 
 def read_records(raw: Any, file: str, wanted: list[tuple[str, str, Any]], payload: bool, verify: bool) -> Iterator[tuple]:
     """The rows of one archive. wanted: (column, "eq" | "in" | "prefix" | "there", value)."""
-    stream = _Stream(raw)
-    while (head := stream.until(b"\r\n\r\n")) is not None:
+    yield from _records(_Stream(raw), file, wanted, payload, verify)
+
+
+def _records(stream: _Stream, file: str, wanted: list[tuple[str, str, Any]], payload: bool, verify: bool) -> Iterator[tuple]:
+    while True:
+        before, fresh = stream.members, not stream.held and stream.z is None
+        head = stream.until(b"\r\n\r\n")
+        if head is None:
+            return
         heads = _heads(head.lstrip(b"\r\n"))
         size = int(heads.get("content-length", 0))
+        # The member at hand is this record and no more, and tells its packed length.
+        alone = fresh and stream.members == before + 1 and stream.left is not None and stream.whole == len(head) + 4 + size + 4
         if not all(_passes(heads.get(HEADER[c]), how, v) for c, how, v in wanted):
-            stream.skip(size + 4)
+            stream.leave() if alone else stream.skip(size + 4)
             continue
         http = None
         body, full, left = None, size, size
@@ -208,9 +265,10 @@ def read_records(raw: Any, file: str, wanted: list[tuple[str, str, Any]], payloa
                 if digest is not None and found != digest:
                     raise ValueError(f"{file}: payload digest {found}, header {digest}")
                 digest = found
+        if alone:
+            stream.leave()
         else:
-            stream.skip(left)
-        stream.skip(4)
+            stream.skip((left if body is None else 0) + 4)
         number = lambda k: int(heads[k]) if heads.get(k) else None
         yield (
             file, heads.get("warc-type"), heads.get("warc-record-id"), heads.get("warc-target-uri"), heads.get("warc-refers-to-target-uri"), heads.get("warc-refers-to"), digest,
@@ -270,7 +328,7 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         there, _ = fs.FileSystem.from_uri(self.path)
-        with there.open_input_stream(partition.value, compression=None) as raw:
+        with there.open_input_file(partition.value) as raw:
             yield from read_records(raw, partition.value.rpartition("/")[2], self.wanted, self.payload, self.verify)
 
 
@@ -295,7 +353,9 @@ def register(spark: SparkSession) -> None:
 
 
 def write_and_read(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Archive pages in the shared folder and read all records back, payloads verified."""
+    """Archive pages in the shared folder and read all records back: responses with their payloads,
+    whose digests and sizes are taken from the bytes, and revisits from their headers alone. Either is a
+    filter on the record type, which the reader takes over, so neither decodes the other's records."""
     spark = pages.sparkSession
     path = work_path(spark, "warc")
     written = write_archives(pages, path, least_bytes)
@@ -303,4 +363,6 @@ def write_and_read(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     register(spark)
     if not names:
         return spark.createDataFrame([], SCHEMA)
-    return spark.read.format("warc").option("files", ",".join(names)).option("payload", "false").option("verify", "true").load(path)
+    data = spark.read.format("warc").option("files", ",".join(names)).option("payload", "false")
+    responses = data.option("verify", "true").load(path).filter("warc_type = 'response'")
+    return responses.unionByName(data.option("verify", "false").load(path).filter("warc_type = 'revisit'"))

@@ -151,6 +151,25 @@ def test_filters_are_taken_over_and_right(spark, tmp_path):
     assert len(reader.partitions()) >= 1
 
 
+def test_what_is_skipped_is_not_inflated():
+    """Records that a filter rules out, or whose payload nobody wants, cost a look at their headers."""
+    big = bytes(range(256)) * 4000
+    parts = [warc.record(i, f"http://u/{i}", big, warc.base32_sha1(big), None if i == 0 else 0, "http://u/0") if i < 3 else warc.record(i, "u", b"%d" % i + big, warc.base32_sha1(b"%d" % i + big)) for i in range(9)]
+    data = b"".join(map(warc.member, parts))
+    for wanted, payload, verify, keys, most in (
+        ([("warc_type", "eq", "revisit")], True, True, [1, 2], 9 * 2048), ([], False, False, list(range(9)), 9 * 2048), ([("page_id", "eq", "4")], True, False, [4], 9 * 2048 + len(parts[4]) + (1 << 18)), ([], True, False, list(range(9)), 9 * len(parts[8])),
+    ):
+        stream = warc._Stream(io.BytesIO(data))
+        rows = list(warc._records(stream, "f", wanted, payload, verify))
+        assert [r[8] for r in rows] == keys and stream.inflated <= most
+        assert all(r[10] == len(big) + (r[8] > 2) for r in rows)
+    first, again = (next(iter(warc.read_records(io.BytesIO(warc.member(p)), "f", [], True, True))) for p in parts[:2])
+    assert again[5] == first[2] and again[4] == first[3] == "http://u/0"
+    import gzip
+
+    assert gzip.decompress(data) == b"".join(parts)
+
+
 def test_other_writers_archives(tmp_path):
     """Plain and whole-gzipped files, records without HTTP, unknown headers, a cut file."""
     block = b"WARC/1.0\r\nwarc-type: warcinfo\r\nContent-Length: 4\r\nX-Other: 1\r\n\r\nabcd\r\n\r\n" + warc.record(3, "u", b"pay", warc.base32_sha1(b"pay"))
