@@ -48,6 +48,14 @@ def test_stages_against_plain_versions(spark, tmp_path, library):
     assert sorted((r["doc_id"], r["piece"], r["length"]) for r in whole) == sorted((r["doc_id"], r["piece"], r["length"]) for r in rows)
 
 
+def test_languages_that_were_not_learned_go(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(WORDS[lang].split()) for _ in range(60)), lang, "s", 1) for i, lang in enumerate(["en", "de"] * 30)]
+    rows += [(100, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", None, "s", 1), (101, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", None, "s", 1), (102, "все люди рождаются свободными", None, "s", 1), (103, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, "").collect()} == set(range(60))
+
+
 def test_entry_has_all_eleven_queries():
     import __spark_entry__
 
