@@ -26,7 +26,7 @@ from akzentor.llm.common import keep
 from akzentor.llm.components import connected_components
 from akzentor.llm.vectors import matrices, projections, usable
 
-PASSES, WINDOW, BITS = 12, 64, 48
+PASSES, WINDOW, BITS = 4, 64, 48
 #: Rows of a block in which links are counted.
 BLOCK = 512
 #: Chance that no pass brings a pair at the threshold into one bucket, whatever the vectors; rows of a block of a bucket.
