@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from akzentor.sources.scratch import discard, keep, shared_dir, work_path
 
-__all__ = ["BATCH_ROWS", "columns", "discard", "keep", "one_batch", "shared_dir", "slices", "table", "work_path"]
+__all__ = ["BATCH_ROWS", "discard", "keep", "shared_dir", "slices", "table", "work_path"]
 
 #: Rows that a Python function works on at a time; texts are long, so these are few.
 BATCH_ROWS = 512
@@ -25,11 +25,3 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-
-
-def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
-    return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
-
-
-def one_batch(schema: pa.Schema, arrays: list) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
