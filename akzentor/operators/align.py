@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from akzentor.functions import scan
 from akzentor.functions.marks import fold
 
 
@@ -19,11 +21,13 @@ def join_sentences(gold: DataFrame, lib: DataFrame, keys: list[str], libs: list[
     """Gold and annotator sentences side by side, either of which may lack some: gold(keys, words,
     error), lib(lib, keys, words, error); `libs` names the annotators that are compared. Rows of one
     sentence meet by one exchange on its keys, the gold once for all annotators; what is gathered
-    is a row each. Repeated rows of a sentence meet each other, as in a join."""
+    is a row each. Repeated rows of a sentence meet each other, as in a join. `words` may as well be a marked text,
+    which takes less room to exchange; a sentence that one side lacks then has an empty one."""
     row = lambda name: F.struct(name.alias("lib"), "words", "error").alias("r")
     rows = gold.select(*keys, row(F.lit(None).cast("string"))).unionByName(lib.filter(F.col("lib").isin(libs)).select(*keys, row(F.col("lib"))))
     met = rows.groupBy(*keys).agg(F.collect_list("r").alias("_r"))
-    none = F.array().cast(gold.schema["words"].dataType)
+    kind = gold.schema["words"].dataType
+    none = F.lit("") if kind == StringType() else F.array().cast(kind)
     missing = F.array(F.struct(F.lit(None).cast("string").alias("lib"), none.alias("words"), F.lit(False).alias("error")))
     golds = F.filter("_r", lambda r: r["lib"].isNull())
     met = met.withColumns({"_g": F.when(F.size(golds) > 0, golds).otherwise(missing), "_any": F.size(golds) > 0})
@@ -47,6 +51,13 @@ def align(both: DataFrame) -> DataFrame:
     return out.withColumns({c: F.when(failed, F.lit(0)).otherwise(F.col(c)) for c in ("prefix", "suffix")}).drop("_g", "_l", "_n")
 
 
+def align_texts(both: DataFrame) -> DataFrame:
+    """`align` and the counts of it for sentences whose words are marked texts: adds gold_count, lib_count, prefix,
+    suffix, and matched, scored, checked, from which `metrics.text_metrics` goes on."""
+    own = both.withColumn("_c", F.arrow_udf(scan.compare, scan.COMPARED)("gold_words", "lib_words", F.col("gold_error") | F.col("lib_error")))
+    return own.select("*", "_c.*").drop("_c")
+
+
 def pairs(aligned: DataFrame) -> Column:
     """Aligned words as an array of (g, l, text, gold, lib): indices, gold text, stress places."""
     head = F.when(F.col("prefix") > 0, F.sequence(F.lit(0), F.col("prefix") - 1)).otherwise(F.array().cast("array<int>"))

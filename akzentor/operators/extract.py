@@ -5,24 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from akzentor.functions import marks
-from akzentor.functions.alphabet import MW
+from akzentor.functions import scan
 from akzentor.operators.tokenize import words
 
 
 def marked_words(sentences: DataFrame, keys: list[str], text: str = "text", method: str | None = None) -> DataFrame:
     """(keys, word_no, text, start, end, stress_char_index, stress_vowel_index, method) of marked
     text: a mark belongs to the word that it stands in, and the first of a word counts."""
-    own = words(sentences, keys, text, marked=True).withColumn("stress_char_index", marks.first_stress("raw"))
-    own = own.withColumn("stress_vowel_index", marks.vowel_index("text", "stress_char_index"))
-    return own.withColumn("method", F.when(F.col("stress_char_index").isNotNull(), F.lit(method))).drop("raw")
+    return words(sentences, keys, text, marked=True).withColumn("method", F.when(F.col("stress_char_index").isNotNull(), F.lit(method)))
 
 
 def word_array(text: Column | str) -> Column:
     """A marked sentence's words, in the row: array of (text, stress)."""
-    t = F.col(text) if isinstance(text, str) else text
-    raw = F.regexp_extract_all(t, F.lit(f"({MW}+)"), F.lit(1))
-    return F.filter(F.transform(raw, lambda w: F.struct(marks.remove_marks(w).alias("text"), marks.first_stress(w).alias("stress"))), lambda w: w["text"] != "")
+    return F.arrow_udf(scan.word_lists, scan.WORDS)(F.col(text) if isinstance(text, str) else text)
 
 
 def flag_dubious(word_rows: DataFrame, dubious: DataFrame, text: str = "text", strict: bool = False) -> DataFrame:

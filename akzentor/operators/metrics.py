@@ -15,20 +15,29 @@ def sentence_metrics(aligned: DataFrame, keys: list[str]) -> DataFrame:
     """A row per annotator and sentence: counts, and `checked`, the array of (g, wrong) of words
     that count and that the annotator stressed. Sentences with an error on either side count
     nothing. All of it is worked out within the row."""
-    failed = F.col("gold_error") | F.col("lib_error")
     own = aligned.withColumn("_pairs", pairs(aligned)).withColumn("_scored", F.filter("_pairs", lambda p: is_scored(p["text"], p["gold"])))
     own = own.withColumn("checked", F.transform(F.filter("_scored", lambda p: p["lib"].isNotNull()), lambda p: F.struct(p["g"].alias("g"), (p["gold"] != p["lib"]).alias("wrong"))))
-    loose = F.when(failed, F.lit(0)).otherwise(F.col("gold_count") + F.col("lib_count") - 2 * F.size("_pairs"))
+    return _counted(own.withColumns({"matched": F.size("_pairs"), "scored": F.size("_scored")}), keys)
+
+
+def text_metrics(aligned: DataFrame, keys: list[str]) -> DataFrame:
+    """`sentence_metrics` of what `align_texts` gives."""
+    return _counted(aligned, keys)
+
+
+def _counted(own: DataFrame, keys: list[str]) -> DataFrame:
+    failed = F.col("gold_error") | F.col("lib_error")
+    loose = F.when(failed, F.lit(0)).otherwise(F.col("gold_count") + F.col("lib_count") - 2 * F.col("matched"))
     same = (F.col("gold_count") == F.col("lib_count")) & (F.col("gold_count") > 0)
     return own.select(
         "lib", *keys, "gold_count", "lib_count", "gold_error", "lib_error", "checked",
-        F.size("_pairs").alias("matched_pairs"),
+        F.col("matched").alias("matched_pairs"),
         F.when(same, F.lit(0)).otherwise(loose).alias("unmatched_diff"),
         F.when(same, loose).otherwise(F.lit(0)).alias("unmatched_same"),
         (loose > 0).alias("has_unmatched"),
         F.size(F.filter("checked", lambda c: c["wrong"])).alias("stress_errors"),
-        (F.size("_scored") - F.size("checked")).alias("missing_stress"),
-        F.size("_scored").alias("gold_words_with_stress"),
+        (F.col("scored") - F.size("checked")).alias("missing_stress"),
+        F.col("scored").alias("gold_words_with_stress"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from akzentor.operators import metrics
-from akzentor.operators.align import align, join_sentences
+from akzentor.operators.align import align, align_texts, join_sentences
 from akzentor.operators.extract import flag_dubious, word_array
 from akzentor.sources.scratch import keep
 
@@ -43,11 +43,13 @@ class Evaluation:
 
 
 def aligned(gold: DataFrame, libs: DataFrame, keys: list[str], names: list[str], dubious: DataFrame | None = None) -> DataFrame:
-    """gold(keys, text marked), libs(lib, keys, accented_text, error): sentences side by side with
-    their words and the lengths of their equal ends. Gold words in the list dubious(key) have no stress."""
-    g = gold.select(*keys, word_array("text").alias("words"), F.lit(False).alias("error"))
-    if dubious is not None:
-        g = _without_dubious(g, keys, dubious)
+    """gold(keys, text marked), libs(lib, keys, accented_text, error): sentences side by side with the
+    lengths of their equal ends. Texts meet as they are and are taken apart into words where they have met; only
+    with a list dubious(key), whose words have no stress in the gold, do they meet as words."""
+    no = F.lit(False).alias("error")
+    if dubious is None:
+        return align_texts(join_sentences(gold.select(*keys, F.col("text").alias("words"), no), libs.select("lib", *keys, F.col("accented_text").alias("words"), "error"), keys, names))
+    g = _without_dubious(gold.select(*keys, word_array("text").alias("words"), no), keys, dubious)
     l = libs.select("lib", *keys, word_array("accented_text").alias("words"), "error")  # noqa: E741
     return align(join_sentences(g, l, keys, names))
 
@@ -61,4 +63,5 @@ def _without_dubious(gold: DataFrame, keys: list[str], dubious: DataFrame) -> Da
 
 
 def evaluate(gold: DataFrame, libs: DataFrame, keys: list[str], names: list[str], dubious: DataFrame | None = None) -> Evaluation:
-    return Evaluation(metrics.sentence_metrics(aligned(gold, libs, keys, names, dubious), keys), keys, sorted(names))
+    counts = metrics.text_metrics if dubious is None else metrics.sentence_metrics
+    return Evaluation(counts(aligned(gold, libs, keys, names, dubious), keys), keys, sorted(names))
