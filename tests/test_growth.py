@@ -87,3 +87,13 @@ def test_word_lists_of_odd_sentences(spark):
     df = spark.createDataFrame(flat, "k int, n int, is_word boolean, text string, stress_char_index int, sub_stresses array<int>")
     got = {r["k"]: [tuple(w) for w in r["words"]] for r in render.word_list(df, ["k"], ["n"]).collect()}
     assert got == {1: [("", "а"), ("", "б"), (", ", "")], 3: [(".!", "")], 4: [("« ", "в")]}
+
+
+def test_rules_of_words_are_those_of_the_expressions(spark):
+    words = [*_texts(300, 11), "ёж", "Ёж", "ЁЁё", "мама", "-", "ммм"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.arrow_udf(scan.rules, scan.RULES)("w").alias("r"))
+    same = (F.col("r.vowels").eqNullSafe(marks.count_vowels("w")), F.col("r.yo").eqNullSafe(marks.yo_position("w")), F.col("r.first").eqNullSafe(marks.first_vowel("w")), F.col("r.russian").eqNullSafe(marks.is_russian("w")))
+    for test in same:
+        assert df.filter(~test).collect() == []
+    plan = _plan(queries.resolver_cascade(spark, SMOKE))
+    assert "RLIKE" not in plan  # tests of a word's signs are made once, and not in each branch
