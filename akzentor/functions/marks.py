@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from akzentor.functions import scan
 from akzentor.functions.alphabet import ACUTE, GRAVE, LETTERS, MARKS, NOT_V, PLUS, VOWELS, WORD, V, in_class
 
 
@@ -17,11 +18,14 @@ def remove_marks(text: Column | str) -> Column:
     return F.translate(_col(text), MARKS, "")
 
 
+def unmarked(text: Column | str) -> Column:
+    """`remove_marks` of long texts."""
+    return F.arrow_udf(scan.unmarked, "string")(_col(text))
+
+
 def to_plus(text: Column | str) -> Column:
     """Combining marks, and pluses that stand after their vowel, as a plus before the vowel."""
-    units = F.regexp_extract_all(_col(text), F.lit(f"(?s)(.[{GRAVE}{ACUTE}]|.)"), F.lit(1))
-    marked = F.transform(units, lambda u: F.when(F.length(u) == 2, F.concat(F.when(F.contains(F.lit(VOWELS), F.substring(u, 1, 1)), PLUS).otherwise(""), F.substring(u, 1, 1))).otherwise(u))
-    return F.regexp_replace(F.array_join(marked, ""), rf"({V})\+({NOT_V}|$)", r"+$1$2")
+    return F.arrow_udf(scan.pluses, "string")(_col(text))
 
 
 def _units(text: Column) -> Column:
@@ -30,7 +34,8 @@ def _units(text: Column) -> Column:
 
 
 def stress_positions(text: Column | str) -> Column:
-    """Places of stressed vowels in the text without marks, from 0."""
+    """Places of stressed vowels in the text without marks, from 0. Meant for words and for use within expressions, for
+    its time grows with the square of their number; `stress_places` is for texts."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
 
     def step(acc: Column, u: Column) -> Column:
@@ -40,10 +45,14 @@ def stress_positions(text: Column | str) -> Column:
     return F.aggregate(_units(_col(text)), start, step, lambda acc: acc["found"])
 
 
+def stress_places(text: Column | str) -> Column:
+    """`stress_positions` of texts of any length."""
+    return F.arrow_udf(scan.stress_places, "array<int>")(_col(text))
+
+
 def acutes(text: Column | str) -> Column:
     """Marked text with an acute after each stressed vowel and no other mark, in one pass over it."""
-    vowel = lambda u: F.regexp_extract(u, f"({V})", 1)
-    return F.array_join(F.transform(_units(_col(text)), lambda u: F.when(F.length(u) == 2, F.concat(vowel(u), F.lit(ACUTE))).otherwise(remove_marks(u))), "")
+    return F.arrow_udf(scan.acutes, "string")(_col(text))
 
 
 def first_stress(word: Column | str) -> Column:

@@ -34,8 +34,8 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     Lines are cut, cleaned and numbered within the row, so nothing is exchanged. Null texts have
     no lines.
     """
-    own = F.filter(F.transform(F.split(F.col(text), BREAKS), strip), lambda x: x != "")
-    return docs.select(key, F.posexplode(own).alias("line_no", "text"))
+    own = docs.select(key, F.arrow_udf(scan.line_lists, "array<string>")(F.col(text)).alias("_l"))
+    return own.select(key, F.posexplode("_l").alias("line_no", "text"))
 
 
 def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", carried: Sequence[str] = ()) -> DataFrame:
@@ -66,6 +66,11 @@ def spans(sentences: DataFrame, keys: list[str], text: str = "text", marked: boo
     return sentences.select(*keys, F.explode(_listed(marked, False)(F.col(text))).alias("_s")).select(*keys, "_s.*")
 
 
+def span_array(text: Column | str = "text", marked: bool = False) -> Column:
+    """A sentence's `spans`, in the row."""
+    return _listed(marked, False)(F.col(text) if isinstance(text, str) else text)
+
+
 def words(sentences: DataFrame, keys: list[str], text: str = "text", marked: bool = False) -> DataFrame:
     """The words of `spans`, numbered from 0 in word_no; without `raw`."""
     return sentences.select(*keys, F.explode(_listed(marked, True)(F.col(text))).alias("_s")).select(*keys, "_s.*")

@@ -17,8 +17,8 @@ LIBS = ["first", "last", "near"]
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) of documents, read as Cyrillic and dealt out by document, once for a plan."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.translate("text", LATIN, CYRILLIC).alias("text"))
-    return by_document(docs)
+    docs = by_document(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return docs.select("doc_id", F.arrow_udf(scan.cyrillic, "string")("text").alias("text"))
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,13 +125,13 @@ def marks_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pluses to acutes and back, and the text without marks."""
     own = derived.sentences(spark, sf_dir).select(*KEYS, derived.gold_text().alias("marked"))
     own = own.withColumn("acute", marks.acutes("marked"))
-    return own.select(*KEYS, marks.to_plus("acute").alias("plus_text"), marks.remove_marks("acute").alias("clean"), F.size(marks.stress_positions("acute")).alias("n_marks"))
+    return own.select(*KEYS, marks.to_plus("acute").alias("plus_text"), marks.unmarked("acute").alias("clean"), F.size(marks.stress_places("acute")).alias("n_marks"))
 
 
 @query(f"WITH {SENT}, {MARKED}, own AS (SELECT doc_id, line_no, string_split({MARKS_ONLY}, '+') AS l FROM gold), parts AS (SELECT doc_id, line_no, unnest(l) AS part, unnest(range(len(l))) AS k, len(l) AS n FROM own), ends AS (SELECT *, sum(len(part)) OVER (PARTITION BY doc_id, line_no ORDER BY k) AS e FROM parts) SELECT doc_id, line_no, CAST(k AS INTEGER) AS stress_no, CAST(e AS INTEGER) AS position FROM ends WHERE k < n - 1")
 def stress_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = derived.sentences(spark, sf_dir).select(*KEYS, derived.gold_text().alias("marked"))
-    return own.select(*KEYS, F.posexplode(marks.stress_positions("marked")).alias("stress_no", "position"))
+    return own.select(*KEYS, F.posexplode(marks.stress_places("marked")).alias("stress_no", "position"))
 
 
 @query(f"WITH {SENT}, cuts AS (SELECT doc_id, regexp_extract_all(text, '(?s)(.*?(?:[.!?…]+{SPACE}*|\\n{{2,}})|.+$)') AS l FROM docs WHERE text IS NOT NULL), parts AS (SELECT doc_id, unnest(l) AS text, unnest(range(len(l))) AS k FROM cuts), placed AS (SELECT *, sum(len(text)) OVER (PARTITION BY doc_id ORDER BY k) - len(text) AS s FROM parts) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS sent_no, CAST(s AS INTEGER) AS start, text FROM placed WHERE regexp_replace(text, '{SPACE}+', '', 'g') <> ''")
