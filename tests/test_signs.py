@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from akzentor.functions import marks, scan
 from akzentor.functions.alphabet import CYRILLIC, LATIN, NOT_V, VOWELS, V
+from akzentor.operators import tokenize, wordpiece
 from akzentor.operators.tokenize import BREAKS, SPACE
-from akzentor.plans import queries
+from akzentor.plans import queries, queries_engine
 
 SIGNS = "аеёиЁОбвТ-++́̀́ .,яюz\U0001f600\n\r"
 SMOKE = "/root/testdata/sf0.001"
@@ -63,3 +64,29 @@ def test_texts_are_not_taken_apart_into_arrays_of_signs(spark):
     for f in (queries.marks_round_trip, queries.stress_positions, queries.lines):
         plan = f(spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
         assert "regexp_extract_all" not in plan and "split(" not in plan
+
+
+def test_words_are_folded_where_they_are_found(spark):
+    df = spark.createDataFrame(list(enumerate(_texts(500, SIGNS + "ЁёЯ", 8))), "k int, t string")
+    rows = tokenize.words(df, ["k"], "t", folded=True)
+    assert rows.count() > 300 and rows.filter(~marks.fold("text").eqNullSafe(F.col("folded"))).collect() == []
+    for f in (queries.scorer_routing, queries_engine.sign_scores):
+        plan = f(spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString().split("benchmark")[0]
+        assert "lower(text" not in plan.replace("lower(translate", "")
+
+
+def test_pieces_are_looked_for_no_longer_than_any_is():
+    class Counted(dict):
+        n = 0
+
+        def __contains__(self, key):
+            Counted.n += 1
+            return super().__contains__(key)
+
+    vocabulary = Counted({"з": 4, "за": 5, "##м": 6, "##о": 7, "##к": 8})
+    most = wordpiece.longest(vocabulary)
+    for word in ("замок", "з" + "мок" * 30, "мз", "заж"):
+        assert wordpiece.pieces(word, vocabulary, most=most) == wordpiece.pieces(word, vocabulary)
+    Counted.n = 0
+    wordpiece.engine_tokens("з" + "мок" * 30, vocabulary, most)
+    assert Counted.n <= 91 * most
