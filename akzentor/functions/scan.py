@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 
 from akzentor.functions.alphabet import ACUTE, CYRILLIC, GRAVE, LATIN, LETTERS, MARKS, PLUS, VOWELS, WORD
 
-#: Bytes of text that are worked on at a time; longer texts alone.
-PIECE = 1 << 21
+#: Bytes of text that are worked on at a time, so that their arrays stay in a core's cache; longer texts alone.
+PIECE = 1 << 18
 WORD_BIT, VOWEL_BIT, MARK_BIT, HYPHEN_BIT, YO_BIT, COMBINING_BIT, PLUS_BIT = 1, 2, 4, 8, 16, 32, 64
 SIZE = 0x500
 _KIND = np.zeros(SIZE, np.uint8)
@@ -105,7 +105,7 @@ def pieces(*texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 class Signs:
     """Texts as code points: `cps`, `kind` of each, `at`, its place in `data`, and `rows`, the first of each text.
-    `at` and `rows` have the end besides."""
+    `at` and `rows` have the end besides. Those made by `of` have no `data` and no `at`."""
 
     def __init__(self, texts: pa.Array) -> None:
         off = offsets(texts)
@@ -113,9 +113,21 @@ class Signs:
         self.data = np.frombuffer(buffer, np.uint8)[off[0] : off[-1]] if buffer is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
         self.cps = np.frombuffer(self.data.tobytes().decode().encode("utf-32-le"), np.uint32)
         self.at = np.append(np.flatnonzero((self.data & 0xC0) != 0x80), len(self.data))
-        self.rows = np.searchsorted(self.at, off - off[0])
-        self.kind = _KIND[np.minimum(self.cps, SIZE - 1)]
-        self.n = len(self.cps)
+        self._set(self.cps, np.searchsorted(self.at, off - off[0]))
+
+    def _set(self, cps: np.ndarray, rows: np.ndarray) -> None:
+        self.cps, self.rows, self.n = cps, rows, len(cps)
+        self.kind = _KIND[np.minimum(cps, SIZE - 1)]
+
+    @classmethod
+    def of(cls, cps: np.ndarray, rows: np.ndarray) -> Signs:
+        """Texts that are code points already, so that what is made in steps is written as strings only at its end."""
+        own = cls.__new__(cls)
+        own._set(cps, rows)
+        return own
+
+    def written(self) -> pa.Array:
+        return _written(self.cps, self.rows)
 
     def has(self, bit: int) -> np.ndarray:
         return (self.kind & bit) != 0
@@ -126,7 +138,7 @@ class Signs:
         np.not_equal(inside[1:], inside[:-1], out=turn[1:])
         turn[self.rows[self.rows < self.n]] = True
         starts = np.flatnonzero(turn)
-        return np.append(starts, self.n), np.searchsorted(self.rows, starts, "right") - 1
+        return np.append(starts, self.n), np.repeat(np.arange(len(self.rows) - 1), np.diff(np.searchsorted(starts, self.rows)))
 
     def stressed(self) -> np.ndarray:
         """Vowels after a plus or before a combining mark of the same text."""
@@ -145,13 +157,42 @@ class Signs:
         return self.data[np.repeat(kept, lens)], _ends(lens * kept), _ends(kept)
 
 
-def cyrillic(texts: pa.Array) -> pa.Array:
+def read(s: Signs) -> Signs:
     """Latin texts read as Cyrillic, sign by sign."""
+    return Signs.of(np.where(s.cps < 256, _READ[np.minimum(s.cps, 255)], s.cps), s.rows)
 
-    def run(s: Signs) -> pa.Array:
-        return _written(np.where(s.cps < 256, _READ[np.minimum(s.cps, 255)], s.cps), s.rows)
 
-    return _each(texts, run)
+def cyrillic(texts: pa.Array) -> pa.Array:
+    """`read` of strings."""
+    return _each(texts, lambda s: read(s).written())
+
+
+def _line_places(s: Signs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts' lines that aren't blank, without the white space around them, the first signs and those after the last,
+    and how many a text has."""
+    kind = _BLANK[np.minimum(s.cps, len(_BLANK) - 1)]
+    part = np.zeros(s.n + 1, np.int32)  # which line of which text
+    part[s.rows] = 1
+    part[:-1] += kind == 3
+    signs = np.flatnonzero(kind == 0)
+    own_part = np.cumsum(part)[signs]
+    turn = np.flatnonzero(np.diff(own_part, prepend=-1))
+    first, last = signs[turn], signs[np.append(turn[1:], len(signs))[: len(turn)] - 1] + 1
+    return first, last, np.bincount(np.searchsorted(s.rows, first, "right") - 1, minlength=len(s.rows) - 1)
+
+
+def _within(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places are in one of the ranges, none of which meet."""
+    inside = np.zeros(n + 1, np.int8)
+    inside[first] += 1
+    inside[last] -= 1
+    return np.cumsum(inside, dtype=np.int8)[:-1] > 0
+
+
+def cut(s: Signs) -> tuple[Signs, np.ndarray]:
+    """Texts' lines as `line_lists` has them, and how many a text has."""
+    first, last, counts = _line_places(s)
+    return Signs.of(s.cps[_within(first, last, s.n)], _ends(last - first)), counts
 
 
 def line_lists(texts: pa.Array) -> pa.Array:
@@ -159,20 +200,9 @@ def line_lists(texts: pa.Array) -> pa.Array:
     own, out = plain(texts), []
     for a, b in pieces(own):
         s = Signs(own.slice(a, b - a))
-        kind = _BLANK[np.minimum(s.cps, len(_BLANK) - 1)]
-        part = np.zeros(s.n + 1, np.int32)  # which line of which text
-        part[s.rows] = 1
-        part[:-1] += kind == 3
-        signs = np.flatnonzero(kind == 0)
-        own_part = np.cumsum(part)[signs]
-        turn = np.flatnonzero(np.diff(own_part, prepend=-1))
-        first, last = signs[turn], signs[np.append(turn[1:], len(signs))[: len(turn)] - 1] + 1
+        first, last, per_row = _line_places(s)
         begin, end = s.at[first], s.at[last]
-        inside = np.zeros(len(s.data) + 1, np.int8)
-        inside[begin] += 1
-        inside[end] -= 1
-        rows = _strings(s.data[np.cumsum(inside, dtype=np.int8)[:-1] > 0], _ends(end - begin))
-        per_row = np.bincount(np.searchsorted(s.rows, first, "right") - 1, minlength=b - a)
+        rows = _strings(s.data[_within(begin, end, len(s.data))], _ends(end - begin))
         out.append(pa.ListArray.from_arrays(_nulled(_ends(per_row), texts.slice(a, b - a)), rows))
     return _together(out, pa.list_(pa.string()))
 
@@ -199,45 +229,56 @@ def stress_places(texts: pa.Array) -> pa.Array:
     return _together(out, pa.list_(pa.int32()))
 
 
-def acutes(texts: pa.Array) -> pa.Array:
+def with_acutes(s: Signs) -> Signs:
     """Texts with an acute after each stressed vowel and no other mark."""
+    clean = ~s.has(MARK_BIT)
+    kept = _ends(clean)
+    put = kept[np.flatnonzero(s.stressed()) + 1]  # a stressed vowel is kept, so this is the place after it
+    rows = kept[s.rows]
+    return Signs.of(np.insert(s.cps[clean], put, ord(ACUTE)), rows + np.searchsorted(put, rows, "right"))
 
-    def run(s: Signs) -> pa.Array:
-        kept = _ends(~s.has(MARK_BIT))
-        put = kept[np.flatnonzero(s.stressed()) + 1]  # a stressed vowel is kept, so this is the place after it
-        rows = kept[s.rows]
-        return _written(np.insert(s.cps[~s.has(MARK_BIT)], put, ord(ACUTE)), rows + np.searchsorted(put, rows, "right"))
 
-    return _each(texts, run)
+def acutes(texts: pa.Array) -> pa.Array:
+    """`with_acutes` of strings."""
+    return _each(texts, lambda s: with_acutes(s).written())
 
 
-def pluses(texts: pa.Array) -> pa.Array:
+def with_pluses(s: Signs) -> Signs:
     """Texts with combining marks, and pluses that stand after their vowel, as a plus before the vowel. A combining mark
     belongs to the sign before it, whatever that is, unless that is itself one's mark."""
+    mark = s.has(COMBINING_BIT)
+    bounds, _ = s.runs(mark)
+    alone = np.isin(bounds[:-1], s.rows)  # a run at a text's start has no sign to belong to
+    lens = np.diff(bounds)
+    nth = np.arange(s.n) - np.repeat(bounds[:-1], lens)
+    gone = mark & ((nth % 2 == 1) == np.repeat(alone, lens))
+    first = np.zeros(s.n + 1, bool)
+    first[s.rows] = True
+    marked = s.has(VOWEL_BIT) & np.append(mark[1:] & ~first[1 : s.n], False)[: s.n]
+    kept = _ends(~gone)
+    put, rows = kept[np.flatnonzero(marked)], kept[s.rows]
+    cps = np.insert(s.cps[~gone], put, ord(PLUS))
+    rows = rows + np.searchsorted(put, rows)
+    vowel = (_KIND[np.minimum(cps, SIZE - 1)] & VOWEL_BIT) != 0
+    first = np.zeros(len(cps) + 1, bool)
+    first[rows] = True
+    after = np.append(vowel, False)[1:] & ~first[1:]
+    late = np.flatnonzero((cps == ord(PLUS)) & np.append(False, vowel)[:-1] & ~first[:-1] & ~after)
+    cps[late], cps[late - 1] = cps[late - 1], ord(PLUS)
+    return Signs.of(cps, rows)
 
-    def run(s: Signs) -> pa.Array:
-        mark = s.has(COMBINING_BIT)
-        bounds, _ = s.runs(mark)
-        alone = np.isin(bounds[:-1], s.rows)  # a run at a text's start has no sign to belong to
-        lens = np.diff(bounds)
-        nth = np.arange(s.n) - np.repeat(bounds[:-1], lens)
-        gone = mark & ((nth % 2 == 1) == np.repeat(alone, lens))
-        first = np.zeros(s.n + 1, bool)
-        first[s.rows] = True
-        marked = s.has(VOWEL_BIT) & np.append(mark[1:] & ~first[1 : s.n], False)[: s.n]
-        kept = _ends(~gone)
-        put, rows = kept[np.flatnonzero(marked)], kept[s.rows]
-        cps = np.insert(s.cps[~gone], put, ord(PLUS))
-        rows = rows + np.searchsorted(put, rows)
-        vowel = (_KIND[np.minimum(cps, SIZE - 1)] & VOWEL_BIT) != 0
-        first = np.zeros(len(cps) + 1, bool)
-        first[rows] = True
-        after = np.append(vowel, False)[1:] & ~first[1:]
-        late = np.flatnonzero((cps == ord(PLUS)) & np.append(False, vowel)[:-1] & ~first[:-1] & ~after)
-        cps[late], cps[late - 1] = cps[late - 1], ord(PLUS)
-        return _written(cps, rows)
 
-    return _each(texts, run)
+def pluses(texts: pa.Array) -> pa.Array:
+    """`with_pluses` of strings."""
+    return _each(texts, lambda s: with_pluses(s).written())
+
+
+def round_trip(s: Signs) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Marked texts with acutes: of these the form with pluses, the text without marks and the number of stresses, as
+    `pluses`, `unmarked` and the lengths of `stress_places` have them."""
+    a = with_acutes(s)
+    clean, stressed = ~a.has(MARK_BIT), _ends(a.stressed())
+    return with_pluses(a).written(), _written(a.cps[clean], _ends(clean)[a.rows]), _ints(np.diff(stressed[a.rows]))
 
 
 def _first_of(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -410,8 +451,8 @@ class Written:
     """Unmarked texts' words with two vowels or more, for writing a plus into some of them: `n` vowels, `length`,
     `span` number and `row` of each."""
 
-    def __init__(self, texts: pa.Array) -> None:
-        s = self.signs = Signs(texts)
+    def __init__(self, texts: pa.Array | Signs) -> None:
+        s = self.signs = texts if isinstance(texts, Signs) else Signs(texts)
         word, vowel = s.has(WORD_BIT), s.has(VOWEL_BIT)
         bounds, row = s.runs(word)
         before = _ends(vowel)
@@ -427,3 +468,8 @@ class Written:
         put = s.at[self.vowels[where if use is None else where[use]]]
         rows = s.at[s.rows]
         return _strings(np.insert(s.data, put, ord(PLUS)), rows + np.searchsorted(put, rows))
+
+    def signs_at(self, k: np.ndarray) -> Signs:
+        """`at` of all these words, as signs."""
+        s, put = self.signs, self.vowels[self.base + k]
+        return Signs.of(np.insert(s.cps, put, ord(PLUS)), s.rows + np.searchsorted(put, s.rows))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +17,14 @@ KEYS = ["doc_id", "line_no"]
 LIBS = ["first", "last", "near"]
 
 
+def latin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of documents as they are, dealt out by document, once for a plan."""
+    return by_document(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) of documents, read as Cyrillic and dealt out by document, once for a plan."""
-    docs = by_document(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = latin(spark, sf_dir)
     return docs.select("doc_id", F.arrow_udf(scan.cyrillic, "string")("text").alias("text"))
 
 
@@ -54,6 +61,26 @@ def gold_text() -> Column:
     return F.arrow_udf(_gold, "string")("text", "doc_id")
 
 
+def _round_trips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, ids = scan.plain(batch.column("text")), batch.column("doc_id")
+        for a, b in scan.pieces(texts):
+            own, counts = scan.cut(scan.read(scan.Signs(texts.slice(a, b - a))))
+            row = np.repeat(np.arange(a, b), counts)
+            w = scan.Written(own)
+            found = scan.round_trip(w.signs_at(_gold_vowel(w, np.asarray(ids)[row])))
+            line_no = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(line_no, pa.int32()), *found], [*KEYS, "plus_text", "clean", "n_marks"])
+
+
+def round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, plus_text, clean, n_marks): `scan.round_trip` of `gold_text` of each line of documents. Reading,
+    cutting and marking are done on the signs, which become strings at the end alone."""
+    docs = latin(spark, sf_dir)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(_round_trips, f"doc_id {kind}, line_no int, plus_text string, clean string, n_marks int")
+
+
 def _gold_lists(lists: pa.Array, ids: pa.Array) -> pa.Array:
     counts = np.asarray(lists.value_lengths().fill_null(0), np.int64)
     return scan.nested(lambda t: _gold(t, pa.array(np.repeat(np.asarray(ids), counts))), lists)

@@ -123,9 +123,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SENT}, {MARKED} SELECT doc_id, line_no, {MARKS_ONLY} AS plus_text, replace(text, '+', '') AS clean, CAST(len({MARKS_ONLY}) - len(replace(text, '+', '')) AS INTEGER) AS n_marks FROM gold")
 def marks_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pluses to acutes and back, and the text without marks."""
-    own = derived.sentences(spark, sf_dir).select(*KEYS, derived.gold_text().alias("marked"))
-    own = own.withColumn("acute", marks.acutes("marked"))
-    return own.select(*KEYS, marks.to_plus("acute").alias("plus_text"), marks.unmarked("acute").alias("clean"), F.size(marks.stress_places("acute")).alias("n_marks"))
+    return derived.round_trips(spark, sf_dir)
 
 
 @query(f"WITH {SENT}, {MARKED}, own AS (SELECT doc_id, line_no, string_split({MARKS_ONLY}, '+') AS l FROM gold), parts AS (SELECT doc_id, line_no, unnest(l) AS part, unnest(range(len(l))) AS k, len(l) AS n FROM own), ends AS (SELECT *, sum(len(part)) OVER (PARTITION BY doc_id, line_no ORDER BY k) AS e FROM parts) SELECT doc_id, line_no, CAST(k AS INTEGER) AS stress_no, CAST(e AS INTEGER) AS position FROM ends WHERE k < n - 1")

@@ -10,7 +10,7 @@ from akzentor.functions import marks, scan
 from akzentor.functions.alphabet import CYRILLIC, LATIN, NOT_V, VOWELS, V
 from akzentor.operators import tokenize, wordpiece
 from akzentor.operators.tokenize import BREAKS, SPACE
-from akzentor.plans import queries, queries_engine
+from akzentor.plans import derived, queries, queries_engine
 
 SIGNS = "аеёиЁОбвТ-++́̀́ .,яюz\U0001f600\n\r"
 SMOKE = "/root/testdata/sf0.001"
@@ -90,3 +90,33 @@ def test_pieces_are_looked_for_no_longer_than_any_is():
     Counted.n = 0
     wordpiece.engine_tokens("з" + "мок" * 30, vocabulary, most)
     assert Counted.n <= 91 * most
+
+
+def test_marks_are_turned_on_signs(monkeypatch):
+    texts = _texts(1000, SIGNS, 9)
+    own = scan.plain(pa.array(texts))
+    want = scan.acutes(own)
+    for piece in (scan.PIECE, 16):
+        monkeypatch.setattr(scan, "PIECE", piece)
+        got = [scan.round_trip(scan.Signs(own.slice(a, b - a))) for a, b in scan.pieces(own)]
+        plus, clean, n = (pa.concat_arrays(x) for x in zip(*got, strict=True))
+        assert plus.equals(scan.pluses(want)) and clean.equals(scan.unmarked(want))
+        assert n.to_pylist() == [len(x) for x in scan.stress_places(want).to_pylist()]
+    lines, counts = scan.cut(scan.read(scan.Signs(own)))
+    want = scan.line_lists(scan.cyrillic(own))
+    assert lines.written().equals(want.flatten()) and counts.tolist() == [len(x) for x in want.to_pylist()]
+
+
+def test_round_trips_are_those_of_the_single_steps(spark):
+    own = derived.sentences(spark, SMOKE).select(*derived.KEYS, derived.gold_text().alias("marked")).withColumn("acute", marks.acutes("marked"))
+    want = own.select(*derived.KEYS, marks.to_plus("acute").alias("plus_text"), marks.unmarked("acute").alias("clean"), F.size(marks.stress_places("acute")).alias("n_marks"))
+    got = queries.marks_round_trip(spark, SMOKE)
+    assert got.dtypes == want.dtypes
+    assert got.count() == want.count() > 100 and got.exceptAll(want).count() == 0
+
+
+def test_lines_are_cut_once_and_after_documents_are_dealt_out(spark):
+    for f in (queries.lines, queries.marks_round_trip, queries.stress_positions, queries.sentence_split, queries_engine.sign_scores):
+        plan = f(spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
+        dealt = plan.index("REPARTITION_BY_COL")
+        assert plan.count("line_lists(") <= 1 and "Python" not in plan[dealt:] and "InArrow" not in plan[dealt:]
