@@ -91,6 +91,24 @@ def test_neighbours(spark, strict):
     assert {r["query"]: r["position"] for r in got.collect()} == {q: plain_predict(q, vocabulary, tails, strict) for q in queries}
 
 
+@pytest.mark.parametrize("strict", [True, False])
+def test_neighbours_in_memory_are_those_of_the_join(spark, strict, monkeypatch):
+    rng = random.Random(8)
+    word = lambda least: "".join(rng.choice("абвa") for _ in range(rng.randint(least, 7)))
+    vocabulary = [(word(1), p) for p in ("0", "1,2", "3", "-1", "2,4") for _ in range(60)]
+    asked = spark.createDataFrame([(word(0),) for _ in range(400)] + [(None,), ("я",), ("-",)], "query string")
+    known = spark.createDataFrame([*vocabulary, (None, "1")], "form string, positions string")
+    ends = ["", "а", "б", "аб", "ваб"]
+    tails = spark.createDataFrame([(a, b) for a in ends for b in ends if rng.random() < 0.7], "word_suffix string, norm_suffix string")
+    held = oov.predict(asked, known, tails, strict)
+    assert "Window" not in held._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(oov, "HELD", 5)
+    joined = oov.predict(asked, known, tails, strict)
+    assert "Window" in joined._jdf.queryExecution().executedPlan().toString()
+    rows = {(r["query"], r["position"]) for r in held.collect()}
+    assert rows == {(r["query"], r["position"]) for r in joined.filter("query is not null").collect()} | {(None, -1)} and len({p for _, p in rows}) > 3
+
+
 def test_cascade(spark):
     known = spark.createDataFrame([("замок", [1, 3]), ("мама", [1]), ("над", [1]), ("по", [1]), ("бр", [1])], "form string, positions array<int>")
     words = spark.createDataFrame(list(enumerate(["Ёлка", "мама", "Замок", "брр", "ворона", "по-над", "бр", "да-да", "-", "кто-ёж"])), "k int, text string")
