@@ -339,7 +339,7 @@ def homograph_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SENT}, {WORDS}, u AS (SELECT DISTINCT replace(lower(text), 'ё', 'е') AS q FROM words), c AS (SELECT q, list_transform(string_split(q, ''), lambda c: CASE WHEN strpos('{MODEL_LETTERS}', c) = 0 THEN 0 ELSE strpos('{MODEL_LETTERS}', c) + 2 END) AS ids FROM u WHERE q <> '') SELECT q AS query, CAST(list_position(list_transform(ids, lambda i: (i * 31) % 23), list_max(list_transform(ids, lambda i: (i * 31) % 23))) - 1 AS INTEGER) AS position FROM c WHERE NOT list_contains(ids, 0)")
 def sign_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stand-in character model's place for every word without unknown signs."""
-    own = tokenize.words(derived.sentences(spark, sf_dir), KEYS, folded=True).select(F.col("folded").alias("query")).distinct()
+    own = derived.words(spark, sf_dir, folded=True).select(F.col("word").alias("query"))
     return scorers.score_unknown(own.select("query", wordpiece.framed_signs("query").alias("ids")), scorers.StubScorer(1))
 
 

@@ -120,3 +120,27 @@ def test_lines_are_cut_once_and_after_documents_are_dealt_out(spark):
         plan = f(spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
         dealt = plan.index("REPARTITION_BY_COL")
         assert plan.count("line_lists(") <= 1 and "Python" not in plan[dealt:] and "InArrow" not in plan[dealt:]
+
+
+def test_words_are_made_distinct_in_their_batch(spark, monkeypatch):
+    texts = _texts(700, SIGNS + "ЁёЯ-", 10)
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    words = tokenize.words(df, [], "t").select("text")
+    parts = words.select(F.explode(F.split("text", "-")).alias("text")).filter("text <> ''")
+    for piece in (scan.PIECE, 16):
+        monkeypatch.setattr(scan, "PIECE", piece)
+        for own, by_part in ((words, False), (parts, True)):
+            for folded in (False, True):
+                want = {r[0] for r in own.select(marks.fold("text") if folded else "text").collect()}
+                got = scan.distinct_words(pa.array(texts), folded, by_part).to_pylist()
+                assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert {r["word"] for r in tokenize.distinct_words(df, "t").collect()} == {r["text"] for r in words.collect()}
+    assert scan.distinct_words(pa.array([None, "", " "])).to_pylist() == []
+    assert scan.distinct_words(pa.array(["а", "б в", "г"]).slice(1, 1)).to_pylist() == ["б", "в"]
+
+
+def test_words_are_no_rows_before_they_are_distinct(spark):
+    for f in (queries.unknown_words, queries.sign_ids, queries_engine.sign_scores):
+        plan = f(spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
+        documents = plan[plan.index("MapInArrow run(text") :]
+        assert "Generate" not in plan.split("benchmark")[0].split("BroadcastExchange")[0] and "Window" not in plan and "REPARTITION_BY_COL" in documents
