@@ -246,19 +246,19 @@ def acutes(texts: pa.Array) -> pa.Array:
 def with_pluses(s: Signs) -> Signs:
     """Texts with combining marks, and pluses that stand after their vowel, as a plus before the vowel. A combining mark
     belongs to the sign before it, whatever that is, unless that is itself one's mark."""
-    mark = s.has(COMBINING_BIT)
-    bounds, _ = s.runs(mark)
-    alone = np.isin(bounds[:-1], s.rows)  # a run at a text's start has no sign to belong to
-    lens = np.diff(bounds)
-    nth = np.arange(s.n) - np.repeat(bounds[:-1], lens)
-    gone = mark & ((nth % 2 == 1) == np.repeat(alone, lens))
-    first = np.zeros(s.n + 1, bool)
-    first[s.rows] = True
-    marked = s.has(VOWEL_BIT) & np.append(mark[1:] & ~first[1 : s.n], False)[: s.n]
-    kept = _ends(~gone)
-    put, rows = kept[np.flatnonzero(marked)], kept[s.rows]
-    cps = np.insert(s.cps[~gone], put, ord(PLUS))
-    rows = rows + np.searchsorted(put, rows)
+    mark = np.flatnonzero(s.has(COMBINING_BIT))
+    begins = s.rows[np.minimum(np.searchsorted(s.rows, mark), len(s.rows) - 1)] == mark  # at a text's start there is no sign to belong to
+    turn = np.flatnonzero(np.append(True, np.diff(mark) != 1)[: len(mark)] | begins)
+    lens = np.diff(np.append(turn, len(mark)))
+    nth, alone = np.arange(len(mark)) - np.repeat(turn, lens), np.repeat(begins[turn], lens)
+    after = mark[~begins] - 1
+    marked = after[s.has(VOWEL_BIT)[after]]
+    cps = s.cps.copy()
+    cps[marked], cps[marked + 1] = ord(PLUS), s.cps[marked]  # the vowel takes its mark's place
+    gone = np.setdiff1d(mark[(nth % 2 == 1) == alone], marked + 1, assume_unique=True)
+    cps, rows = np.delete(cps, gone), s.rows - np.searchsorted(gone, s.rows)
+    if not s.has(PLUS_BIT).any():
+        return Signs.of(cps, rows)
     vowel = (_KIND[np.minimum(cps, SIZE - 1)] & VOWEL_BIT) != 0
     first = np.zeros(len(cps) + 1, bool)
     first[rows] = True
@@ -277,8 +277,9 @@ def round_trip(s: Signs) -> tuple[pa.Array, pa.Array, pa.Array]:
     """Marked texts with acutes: of these the form with pluses, the text without marks and the number of stresses, as
     `pluses`, `unmarked` and the lengths of `stress_places` have them."""
     a = with_acutes(s)
-    clean, stressed = ~a.has(MARK_BIT), _ends(a.stressed())
-    return with_pluses(a).written(), _written(a.cps[clean], _ends(clean)[a.rows]), _ints(np.diff(stressed[a.rows]))
+    marked = a.has(MARK_BIT)
+    clean = _written(a.cps[~marked], a.rows - np.searchsorted(np.flatnonzero(marked), a.rows))
+    return with_pluses(a).written(), clean, _ints(np.diff(np.searchsorted(np.flatnonzero(a.stressed()), a.rows)))
 
 
 def _first_of(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
